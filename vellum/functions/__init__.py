@@ -1 +1 @@
-
+"""Column functions: JSON fields, identifiers, routing, hashes."""

@@ -1 +1 @@
-
+"""Operators over keyed entries and versions."""

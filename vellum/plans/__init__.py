@@ -1 +1 @@
-
+"""Declarative requests, validated and planned as DataFrames."""

@@ -1,4 +1,4 @@
-"""Registered queries of the engine, each with its SQL."""
+"""Registered queries of the engine, each with SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vellum import queries_documents, queries_entries, queries_relational, queries_versions
+
+_MODULES = (queries_entries, queries_documents, queries_versions, queries_relational)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: q.run for m in _MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q.sql for m in _MODULES for name, q in m.QUERIES.items() if q.sql}

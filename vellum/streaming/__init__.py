@@ -1 +1 @@
-
+"""Change feeds, in batch and as streams."""
