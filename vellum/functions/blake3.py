@@ -9,6 +9,7 @@ import struct
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # fixed values of the specification
 _IV = (0x6A09E667, 0xBB67AE85, 0x3C6EF372, 0xA54FF53A, 0x510E527F, 0x9B05688C, 0x1F83D9AB, 0x5BE0CD19)
@@ -58,7 +59,7 @@ def digest(data: bytes) -> bytes:
     return struct.pack("<8I", *_tree(data, 0, _ROOT))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def blake3(data: pa.Array) -> pa.Array:
     """Hex digest of a string or binary column; null for null."""
     return pa.array([None if x is None else digest(x).hex() for x in data.cast(pa.large_binary()).to_pylist()], pa.string())
