@@ -29,12 +29,39 @@ def as_of(versions: DataFrame, snap: str, history: DataFrame | None = None) -> D
     return latest(every.where(F.col("ver") <= snap))
 
 
+def version_bounds(versions: DataFrame, n: int = 32) -> list[str]:
+    """At most n - 1 version ids that cut the versions into parts of about equal size.
+
+    They are quantiles of the 1,024 ids with the least hash. Only the cut depends on them, not
+    the result: every version falls in some part.
+    """
+    some = sorted(r[0] for r in versions.select("ver").distinct().orderBy(F.xxhash64("ver")).limit(1024).collect())
+    return sorted({some[i * len(some) // n] for i in range(1, n)}) if some else []
+
+
+def part(ver: Column, bounds: list[str]) -> Column:
+    """The number of the part that a version id falls in."""
+    return sum((F.when(ver >= b, 1).otherwise(0) for b in bounds), F.lit(0))
+
+
 def as_of_each(lookups: DataFrame, versions: DataFrame) -> DataFrame:
-    """For (key, snap) rows, the entry visible at each row's own snapshot; none if it is deleted."""
-    l = lookups.select("key", "snap").distinct()
-    v = versions.select("key", "ver", "deleted", "value")
-    hit = l.join(v, "key").where("ver <= snap").groupBy("key", "snap").agg(F.max_by(F.struct("deleted", "value", "ver"), "ver").alias("v"))
-    return hit.where("not v.deleted").select("key", "snap", "v.ver", "v.value")
+    """For (key, snap) rows, the entry visible at each row's own snapshot; none if it is deleted.
+
+    Lookups and versions of a key are read side by side in order, never paired. A key's rows are
+    cut into parts by version, so that a hot key is many tasks; the last version of a part is
+    handed on to the later ones, a row a part.
+    """
+    bounds = version_bounds(versions)
+    state = F.struct("ver", "deleted", "value")
+    v = versions.select("key", F.col("ver").alias("at"), F.lit(0).alias("ask"), state.alias("v"))
+    q = lookups.select("key", F.col("snap").alias("at")).distinct().select("key", "at", F.lit(1).alias("ask"), F.lit(None).cast(v.schema["v"].dataType).alias("v"))
+    rows = v.unionByName(q).withColumn("part", part(F.col("at"), bounds))
+    w = Window.partitionBy("key", "part").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumn("v", F.last("v", ignorenulls=True).over(w)).where("ask = 1")
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    handed = rows.groupBy("key", "part").agg(F.max_by("v", F.when(F.col("ask") == 0, F.col("at"))).alias("last")).withColumn("old", F.last("last", ignorenulls=True).over(before))
+    out = seen.join(handed.select("key", "part", "old"), ["key", "part"]).withColumn("v", F.coalesce("v", "old"))
+    return out.where("not v.deleted").select("key", F.col("at").alias("snap"), "v.ver", "v.value")
 
 
 def freeze(versions: DataFrame) -> DataFrame:
@@ -43,15 +70,19 @@ def freeze(versions: DataFrame) -> DataFrame:
 
 
 def collapse(versions: DataFrame) -> DataFrame:
-    """Runs of versions of a key with one value and state keep their newest."""
-    w = Window.partitionBy("key").orderBy("ver")
-    return versions.withColumns({"nv": F.lead("value").over(w), "nd": F.lead("deleted").over(w), "nk": F.lead("ver").over(w)}).where(F.col("nk").isNull() | ~(F.col("value").eqNullSafe(F.col("nv")) & F.col("deleted").eqNullSafe(F.col("nd")))).drop("nv", "nd", "nk")
+    """Runs of versions of a key with one value and state keep their newest.
 
-
-def marked(versions: DataFrame) -> DataFrame:
-    """versions with ``hot``: whether it is the live version of its key."""
-    last = versions.groupBy("key").agg(F.max("ver").alias("last"))
-    return versions.join(last, "key").withColumn("hot", (F.col("ver") == F.col("last")) & ~F.col("deleted")).drop("last")
+    A hot key's versions are cut into parts; a part's last version is compared with the first of
+    the next.
+    """
+    columns, same = versions.columns, F.struct("deleted", "value")
+    rows = versions.withColumn("part", part(F.col("ver"), version_bounds(versions)))
+    w = Window.partitionBy("key", "part").orderBy("ver")
+    rows = rows.withColumn("after", F.lead(same).over(w))
+    firsts = rows.groupBy("key", "part").agg(F.min_by(same, "ver").alias("first"))
+    firsts = firsts.withColumn("beyond", F.lead("first").over(Window.partitionBy("key").orderBy("part")))
+    rows = rows.join(firsts.select("key", "part", "beyond"), ["key", "part"]).withColumn("after", F.coalesce("after", "beyond"))
+    return rows.where(F.col("after").isNull() | ~same.eqNullSafe(F.col("after"))).select(*columns)
 
 
 def retain(versions: DataFrame, policy: str) -> tuple[DataFrame, DataFrame]:
@@ -60,8 +91,8 @@ def retain(versions: DataFrame, policy: str) -> tuple[DataFrame, DataFrame]:
         return versions, versions.limit(0)
     if policy not in ("prune", "archive"):
         raise ValueError(f"no such policy: {policy}")
-    m = marked(versions)
-    hot, cold = m.where("hot").drop("hot"), m.where("not hot").drop("hot")
+    hot = latest(versions)
+    cold = versions.join(hot.select("key", "ver"), ["key", "ver"], "left_anti").select(*versions.columns)
     return hot, cold if policy == "archive" else versions.limit(0)
 
 
