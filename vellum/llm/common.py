@@ -34,20 +34,42 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/vellum/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     Cuts the lineage: whatever reads the result does not recompute ``df``, and it survives the
-    loss of any executor.
+    loss of any executor. ``free`` lets the driver collect its garbage then: Spark keeps the
+    shuffle files of finished jobs until it does, which in a long-running driver can be hours.
     """
-    path = scratch_path(df.sparkSession, tag)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._vellum_path = path
+    if free:
+        spark._jvm.System.gc()
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialise() wrote, when nothing reads it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._vellum_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of an Arrow batch. Texts are long: the usual 10,000 of them would be tens of MB, several
+#: times over in a worker.
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that have no copy of the repository."""
-    sc = spark.sparkContext
+    """Make this package importable in Python workers that have no copy of the repository.
+
+    Also lowers the session's limit of rows in an Arrow batch to BATCH_ROWS, if it is higher.
+    """
+    sc, limit = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(limit)) <= BATCH_ROWS:
+        spark.conf.set(limit, BATCH_ROWS)
     if getattr(sc, "_vellum_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
@@ -92,7 +114,7 @@ def as_bytes(column) -> list[bytes | None]:
 class Words(dict):
     """word (bytes) -> 64-bit hash, remembered up to ``most`` words."""
 
-    def __init__(self, seed: int, most: int = 400_000):
+    def __init__(self, seed: int, most: int = 200_000):
         from xxhash import xxh64_intdigest
 
         self.seed, self.most, self.digest = seed, most, xxh64_intdigest

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
 import os
 import tempfile
 import uuid
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +20,11 @@ HELD_OUT = 10
 BEGIN, END = 2, 1
 SEED = 11
 #: Text bytes to a shard of the model; a shard is what one task merges.
-SHARD_BYTES = 32_000_000
-#: Tokens that are counted, or scored, at once.
-_TOKENS = 3_000_000
+SHARD_BYTES = 16_000_000
+#: Tokens that are counted at once, and bytes of text that are split or scored at once.
+_TOKENS, _GROUP = 2_000_000, 5_000_000
+#: Bigrams in a blob: small objects for the JVM that passes them on.
+_BLOB = 20_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _UNI = ("c", "cont", "total", "n1", "n2", "n3")
 
@@ -55,7 +57,7 @@ class Tokens:
         return context, token, n
 
 
-def _groups(texts: list, most: int = 8 * _TOKENS):
+def _groups(texts: list, most: int = _GROUP):
     """Slices of the texts of about ``most`` bytes."""
     begin, size = 0, 0
     for i, t in enumerate(texts):
@@ -89,8 +91,8 @@ def _bigram_blobs(context: np.ndarray, token: np.ndarray, shards: int):
     context, token, count = context[order], token[order], count[order].astype(np.uint32)
     cut = np.searchsorted(context % np.uint64(shards), np.arange(shards + 1, dtype=np.uint64))
     for s in range(shards):
-        a, b = cut[s], cut[s + 1]
-        if a < b:
+        for a in range(cut[s], cut[s + 1], _BLOB):
+            b = min(a + _BLOB, cut[s + 1])
             u, n = np.unique(context[a:b], return_counts=True)
             yield s, _pack(u=u, n=n.astype(np.uint32), token=token[a:b], count=count[a:b])
 
@@ -211,9 +213,8 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
         def flush():
             context, token = (np.concatenate(x) for x in zip(*waiting, strict=True))
             waiting.clear()
-            rows = list(_bigram_blobs(context, token, shards))
-            for at in range(0, len(rows), 64):
-                part = rows[at : at + 64]
+            rows = _bigram_blobs(context, token, shards)
+            while part := list(islice(rows, 16)):
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in part], pa.int32()), pa.array([b for _, b in part], pa.binary())], names=["shard", "blob"])
 
         for batch in batches:
@@ -237,9 +238,10 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
         word, columns = _sums(word, columns)
         at, blobs, to = word % np.uint64(shards), [], []
         for t in range(shards):
-            if (mine := at == t).any():
+            mine = np.flatnonzero(at == t)
+            for a in range(0, len(mine), _BLOB):
                 to.append(t)
-                blobs.append(_pack(word=word[mine], **{k: x[mine].astype(np.int64) for k, x in zip(_UNI, columns, strict=True)}))
+                blobs.append(_pack(word=word[mine[a : a + _BLOB]], **{k: x[mine[a : a + _BLOB]].astype(np.int64) for k, x in zip(_UNI, columns, strict=True)}))
         tell = [[int((n == k).sum()) for k in (1, 2, 3, 4)]] + [None] * (len(to) - 1)
         return pa.table([pa.array(to, pa.int32()), pa.array(blobs, pa.binary()), pa.array(tell, pa.list_(pa.int64()))], names=["shard", "blob", "tell"])
 
@@ -300,7 +302,7 @@ class Scorer:
         words, inverse = np.unique(np.concatenate([token, context]), return_inverse=True)
         c, cont, total, n1, n2, n3 = self._find("word", words % np.uint64(m.shards), words, _UNI)
         uniform = m.back / (m.types + 1)
-        p_word = (np.maximum(cont - self._discount(cont, m.d_cont), 0) / m.bigrams if m.bigrams else 0.0) + uniform
+        p_word = np.maximum(cont - self._discount(cont, m.d_cont), 0) / max(m.bigrams, 1) + uniform
         gamma = np.where(total > 0, (m.d[0] * n1 + m.d[1] * n2 + m.d[2] * n3) / np.maximum(total, 1), 1.0)
         base = np.log10((c + 0.1) / (m.tokens + 0.1 * (m.types + 1)))
         of_token, of_context = inverse[: len(token)], inverse[len(token) :]
