@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import as_bytes, keyed, materialise, ship
+from vellum.llm.common import as_bytes, discard, keyed, materialise, ship
 from vellum.llm.winnow import mix, segments, span_hashes
 
 #: Contents of one anchor that a shard takes; anchors with more are settled window by window.
 CONTENTS = 1000
 #: First segments of a shard.
 SHARD = 20_000
-_SEG = "h long, sig long, dk long, th long, q long, content binary"
+_SEG = "h long, sig long, dk long, th long, q long, content binary, contents long"
 
 
 @dataclass(frozen=True)
@@ -57,7 +57,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), _long(np.concatenate([np.zeros(0, np.uint64), *parts])))
 
 
-def _pieces(texts: list, most: int = 16_000_000):
+def _pieces(texts: list, most: int = 2_000_000):
     """Slices of a batch of about ``most`` bytes of text."""
     begin, size = 0, 0
     for i, t in enumerate(texts):
@@ -86,7 +86,7 @@ def segment_rows(docs: DataFrame, unit: Unit) -> DataFrame:
 
 
 def contents(docs: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
-    """The content of the segments ``wanted`` (h, sig, dk, th, q)."""
+    """The content of the segments ``wanted`` (h, sig, dk, th, q, contents)."""
 
     def each(batches):
         for batch in batches:
@@ -97,12 +97,12 @@ def contents(docs: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
                     units = unit.split(texts[i] or b"")
                     for s in lists[i].as_py():
                         lo, n = s["q"] >> 16, s["q"] >> 8 & 255
-                        rows.append((s["h"], s["sig"], batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), s["q"], unit.join(units[lo : lo + n + unit.window])))
-                columns = list(zip(*rows, strict=True)) or [[]] * 6
-                kinds = [pa.int64()] * 5 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "sig", "dk", "th", "q", "content"])
+                        rows.append((s["h"], s["sig"], batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), s["q"], unit.join(units[lo : lo + n + unit.window]), s["contents"]))
+                columns = list(zip(*rows, strict=True)) or [[]] * 7
+                kinds = [pa.int64()] * 5 + [pa.binary(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "sig", "dk", "th", "q", "content", "contents"])
 
-    lists = wanted.groupBy("dk", "th").agg(F.collect_list(F.struct("h", "sig", "q")).alias("s"))
+    lists = wanted.groupBy("dk", "th").agg(F.collect_list(F.struct("h", "sig", "q", "contents")).alias("s"))
     return keyed(docs).select("dk", "th", "text").join(lists, ["dk", "th"]).select("dk", "th", "text", "s").mapInArrow(each, _SEG)
 
 
@@ -112,8 +112,7 @@ def by_window(seg: DataFrame, unit: Unit) -> DataFrame:
     def each(batches):
         for batch in batches:
             kept: list[tuple] = []
-            for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                h, sig, dk, th, q, content = row
+            for h, sig, dk, th, q, content in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 v, n = unit.values(unit.split(content)), (q >> 8 & 255) + 1
                 at = np.arange(n)
                 w1, w2 = (span_hashes(x, at, at + unit.window) for x in (v, mix(v + np.uint64(1))))
@@ -124,13 +123,13 @@ def by_window(seg: DataFrame, unit: Unit) -> DataFrame:
 
     w = materialise(seg.mapInArrow(each, "h long, sig long, dk long, th long, pos long, j long, w1 long, w2 long"), "windows")
     at = F.struct("dk", "th", "pos")
-    first = w.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1")
+    first = materialise(w.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1"), "first")
     later = F.col("dk") > F.col("first.dk") if unit.strict else at > F.col("first")
     return w.join(first, ["w1", "w2"]).where(later).select("h", "sig", F.col("j").cast("int").alias("j"))
 
 
 def repeated_windows(docs: DataFrame, unit: Unit, resolve: Callable[[list[tuple], Unit], list[tuple[int, int, list[int]]]], most_contents: int = CONTENTS, shard: int = SHARD) -> DataFrame:
-    """(dk, th, ranges): starts of windows to remove, as (first, how many) pairs, of each text with any.
+    """(dk, th, ranges): windows to remove of each text with any, as first start << 16 | how many.
 
     ``resolve`` takes the (h, sig, dk, th, q, content) rows of a shard and returns, for each
     (h, sig), the numbers of its windows that also start earlier among the rows.
@@ -138,13 +137,20 @@ def repeated_windows(docs: DataFrame, unit: Unit, resolve: Callable[[list[tuple]
     ship(docs.sparkSession)
     base = materialise(segment_rows(docs, unit), "segments")
     rows = base.select("dk", "th", F.explode(F.arrays_zip("h", "sig", "q")).alias("s")).select("dk", "th", "s.*")
-    again = rows.groupBy("h").agg(F.min("dk").alias("a"), F.max("dk").alias("b"), F.count("*").alias("n"))
-    again = again.where("a < b" if unit.strict else "n > 1").select("h")
-    occurrences = materialise(rows.join(again, "h", "left_semi"), "occurrences")
-    firsts = materialise(occurrences.groupBy("h", "sig").agg(F.min(F.struct("dk", "th", "q")).alias("first")), "firsts")
-    mixed = firsts.groupBy("h").agg(F.count("*").alias("contents")).where("contents > 1")
-    unsettled = materialise(firsts.join(mixed, "h").select("h", "sig", "first.*", "contents"), "unsettled")
-    few, many = unsettled.where(F.col("contents") <= most_contents), unsettled.where(F.col("contents") > most_contents)
+    if unit.strict:
+        again = rows.groupBy("h").agg(F.min("dk").alias("a"), F.max("dk").alias("b")).where("a < b").select("h")
+    else:
+        again = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # the aggregated sides are tables of their own: a join that reads both sides from exchanges can split a hot key
+    again = materialise(again, "again")
+    occurrences = materialise(rows.join(again, "h", "left_semi"), "occurrences", free=True)
+    discard(base)
+    discard(again)
+    firsts = materialise(occurrences.groupBy("h", "sig").agg(F.min(F.struct("dk", "th", "q")).alias("first")), "firsts", free=True)
+    mixed = materialise(firsts.groupBy("h").agg(F.count("*").alias("contents")).where("contents > 1"), "mixed")
+    unsettled = firsts.join(mixed, "h").select("h", "sig", "first.*", "contents")
+    seg = materialise(contents(docs, unsettled, unit), "contents", free=True)
+    few, many = seg.where(F.col("contents") <= most_contents), seg.where(F.col("contents") > most_contents)
     shards = -(-few.count() // shard) or 1
 
     def each(group: pa.Table) -> pa.Table:
@@ -152,14 +158,17 @@ def repeated_windows(docs: DataFrame, unit: Unit, resolve: Callable[[list[tuple]
         columns = list(zip(*found, strict=True)) or [[]] * 3
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int32()))], names=["h", "sig", "js"])
 
-    settled = contents(docs, few, unit).groupBy(F.pmod("h", F.lit(shards)).alias("shard")).applyInArrow(each, "h long, sig long, js array<int>")
-    singly = by_window(contents(docs, many, unit), unit).groupBy("h", "sig").agg(F.sort_array(F.collect_set("j")).alias("js"))
+    settled = few.groupBy(F.pmod("h", F.lit(shards)).alias("shard")).applyInArrow(each, "h long, sig long, js array<int>")
+    singly = by_window(many, unit).groupBy("h", "sig").agg(F.sort_array(F.collect_set("j")).alias("js"))
     flags = settled.unionByName(singly).where(F.size("js") > 0).dropDuplicates(["h", "sig"])
-    o = occurrences.join(firsts, ["h", "sig"]).join(flags, ["h", "sig"], "left")
+    flagged = materialise(firsts.join(flags, ["h", "sig"], "left"), "flags", free=True)
+    for done in (firsts, mixed, seg):
+        discard(done)
+    o = occurrences.join(flagged, ["h", "sig"])
     lo, n = F.shiftright("q", 16), F.shiftright("q", 8).bitwiseAND(F.lit(255))
     later = F.col("dk") > F.col("first.dk") if unit.strict else F.struct("dk", "th", "q") > F.col("first")
-    pair = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("n"))
-    ranges = F.when(later, F.array(pair(lo, n + 1))).otherwise(F.transform("js", lambda j: pair(lo + j, F.lit(1))))
+    pack = lambda start, count: F.shiftleft(start, 16) + count
+    ranges = F.when(later, F.array(pack(lo, n + 1))).otherwise(F.transform("js", lambda j: pack(lo + j, F.lit(1).cast("long"))))
     o = o.select("dk", "th", ranges.alias("r")).where("r is not null")
     return o.groupBy("dk", "th").agg(F.flatten(F.collect_list("r")).alias("ranges"))
 
@@ -190,7 +199,8 @@ def remove_repeats(docs: DataFrame, unit: Unit, resolve: Callable, **kwargs) ->
                         runs.append([])
                         kept.append(unit.join(units))
                         continue
-                    start, n = (np.asarray(r.values.field(k)) for k in ("start", "n"))
+                    packed = r.values.to_numpy()
+                    start, n = packed >> 16, packed & 0xFFFF
                     step = np.zeros(len(units) + 2, dtype=np.int32)
                     np.add.at(step, start + 1, 1)
                     np.add.at(step, start + n + window, -1)

@@ -12,7 +12,9 @@ from vellum.llm.winnow import mix
 
 WINDOW = 100
 GRAM = 32
-_COMPARE = 100_000
+#: Segments in a shard: about half a MB of text, of which sorting takes some hundred bytes a byte.
+SHARD = 4_000
+_COMPARE = 20_000
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -108,10 +110,10 @@ def compare_adjacent(rows: list[tuple], unit: Unit) -> list[tuple[int, int, list
     sa = suffix_array(t)
     w = which[sa]
     w = w[w >= 0]  # windows, sorted by what begins there
-    same = np.zeros(len(w), dtype=bool)
+    same, short = np.zeros(len(w), dtype=bool), t.astype(np.int16)
     for a in range(1, len(w), _COMPARE):
         b = min(len(w), a + _COMPARE)
-        part = t[start[w[a - 1 : b], None] + np.arange(window)].astype(np.int16)
+        part = short[start[w[a - 1 : b], None] + np.arange(window)]
         same[a:b] = (part[1:] == part[:-1]).all(axis=1)
     dk, th, pos = (np.array(c, dtype=np.int64)[row] for c in ([r[2] for r in rows], [r[3] for r in rows], [r[4] >> 16 for r in rows]))
     place = _names(dk, th, pos + j)[w]
@@ -124,16 +126,37 @@ def compare_adjacent(rows: list[tuple], unit: Unit) -> list[tuple[int, int, list
     return [(r[0], r[1], sorted(js)) for r, js in zip(rows, out, strict=True)]
 
 
-def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **kwargs) -> DataFrame:
+def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD, **kwargs) -> DataFrame:
     """(doc_id, n_units, n_removed, runs, kept): bytes of windows that also start earlier go.
 
     Units are the bytes of the UTF-8 text; a window lies within one document. Earlier is a
     smaller doc_id, or the same document before. See remove_repeats for nulls, short texts and
     repeated rows.
     """
-    return remove_repeats(docs, _unit(window, gram), compare_adjacent, **kwargs)
+    return remove_repeats(docs, _unit(window, gram), compare_adjacent, shard=shard, **kwargs)
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_bytes(documents(spark, sf_dir))
     return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: For ids that are unique.
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), p AS (
+  SELECT doc_id, b, unnest(range(1, octet_length(b) + 1)) AS pos FROM d
+), w AS (
+  SELECT doc_id, pos, b[pos : pos] AS byte, CASE WHEN pos + 99 <= octet_length(b) THEN b[pos : pos + 99] END AS win FROM p
+), m AS (
+  SELECT doc_id, pos, byte, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) > 1 AS again FROM w
+), c AS (
+  SELECT doc_id, pos, byte, bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM m
+), e AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM c
+), s AS (
+  SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(hex(byte), '' ORDER BY pos) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM documents LEFT JOIN s USING (doc_id)
+"""
