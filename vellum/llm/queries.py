@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": linededup.OP8_SQL}
+    return {"op3_quality_rules": quality.OP3_SQL, "op8_line_dedup": linededup.OP8_SQL, "op9_substring_dedup": substring.OP9_SQL, "op10_suffix_array_dedup": suffixarray.OP10_SQL}

@@ -13,8 +13,10 @@ from vellum.llm.repeats import Unit, remove_repeats
 
 WINDOW = 50
 GRAM = 16
+#: Segments in a shard.
+SHARD = 8_000
 #: Words of all patterns in one automaton.
-PATTERN_WORDS = 1_500_000
+PATTERN_WORDS = 500_000
 
 
 @functools.cache
@@ -83,15 +85,34 @@ def locate(rows: list[tuple], unit: Unit) -> list[tuple[int, int, list[int]]]:
     return [(r[0], r[1], sorted(js)) for r, js in zip(rows, found, strict=True)]
 
 
-def dedup_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **kwargs) -> DataFrame:
+def dedup_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD, **kwargs) -> DataFrame:
     """(doc_id, n_units, n_removed, runs, kept): words of windows that start in a smaller doc_id go.
 
     Units are words `[^\\x20\\x09-\\x0D]+`, unchanged; kept words are joined by one blank. See
     remove_repeats for nulls, short texts and repeated rows.
     """
-    return remove_repeats(docs, _unit(window, gram), locate, **kwargs)
+    return remove_repeats(docs, _unit(window, gram), locate, shard=shard, **kwargs)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_passages(documents(spark, sf_dir))
     return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: For ids that are unique.
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), p AS (
+  SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS pos FROM d
+), w AS (
+  SELECT doc_id, pos, words[pos] AS word, CASE WHEN pos + 49 <= len(words) THEN array_to_string(words[pos : pos + 49], ' ') END AS win FROM p
+), m AS (
+  SELECT doc_id, pos, word, win IS NOT NULL AND min(doc_id) OVER (PARTITION BY win) < doc_id AS again FROM w
+), c AS (
+  SELECT doc_id, pos, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM m
+), s AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN s USING (doc_id)
+"""
