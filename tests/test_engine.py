@@ -373,6 +373,14 @@ def test_collections_and_snapshots(spark, tmp_path):
     assert s.collections() == [] and s.view(coll="users").count() == 0
 
 
+def test_journal(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "db"))
+    s.note("migrate", "7 to 9")
+    s.put("a", "1")
+    s.note("archive", "x")
+    assert [tuple(r)[1:] for r in s.journal().collect()] == [("migrate", "7 to 9"), ("archive", "x")] and keys(s.view()) == ["a"]
+
+
 def test_feed_stream_equals_batch(spark, tmp_path):
     rows = [(i, "mutation", i % 3, f"k{i % 7}", f"{i:04d}", i % 5 == 0, f"v{i}") for i in range(100)]
     log = spark.createDataFrame(rows, "seq bigint, kind string, shard int, key string, ver string, deleted boolean, value string").withColumn("ts", F.timestamp_seconds(F.col("seq") * 60))

@@ -77,3 +77,13 @@ def chi_square(histogram: DataFrame, cells: int) -> DataFrame:
     """(chi2, n): how uneven a histogram over ``cells`` cells is; cells without keys count."""
     t = histogram.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"))
     return t.select((F.col("sq") * cells / F.col("n") - F.col("n")).alias("chi2"), "n")
+
+
+def table_stats(entries: DataFrame) -> DataFrame:
+    """(entries, key_bytes, value_bytes, large): sizes from the stored lengths; values are not read."""
+    return entries.agg(F.count("*").alias("entries"), F.sum(F.octet_length("key").cast("long")).alias("key_bytes"), F.sum(F.col("value_len").cast("long")).alias("value_bytes"), F.count_if(F.col("value_len") > 2048).alias("large"))
+
+
+def migrate(shard: Column, source: int, target: int) -> Column:
+    """Shard numbers with one shard's keys moved to another."""
+    return F.when(shard == source, F.lit(target)).otherwise(shard)

@@ -157,3 +157,9 @@ def cut_at_gap(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = log.join(F.broadcast(first))  # one row
     keep = F.col("cut").isNull() | (F.col("seq") <= F.col("cut"))
     return both.where(keep).drop("cut"), both.where(~keep).drop("cut")
+
+
+def truncate(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, archived): the log after its last checkpoint, and what a replay no longer needs."""
+    both = log.join(F.broadcast(resume_point(log)))  # one row
+    return both.where("seq > after").drop("after"), both.where("seq <= after").drop("after")

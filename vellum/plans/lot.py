@@ -269,6 +269,11 @@ def compare_and_set(docs: DataFrame, requests: DataFrame) -> tuple[DataFrame, Da
     return j.where(ok).select("id", "doc", "old"), j.where(~ok).select("id", "expect", "old")
 
 
+def touched_shards(writes: DataFrame) -> DataFrame:
+    """(shard): the shards that a request's writes fall in."""
+    return writes.select(ids.route("id").alias("shard")).distinct()
+
+
 class Planner:
     """Plans a validated request over collections.
 

@@ -232,6 +232,11 @@ def nest_cas(spark, sf_dir):
     return _run(spark, sf_dir, {"nest": spec}).writes.select("id", "doc")
 
 
+@query(_O + "SELECT DISTINCT CAST(('0x' || sha256(id)[1:4])::INTEGER >> 6 AS INTEGER) AS shard FROM (SELECT id FROM od WHERE status = 'P' ORDER BY id LIMIT 30)")
+def lot_shards(spark, sf_dir):
+    return lot.touched_shards(nest_cas(spark, sf_dir))
+
+
 @query(_O + "SELECT id, sha256(doc) AS hash FROM od")
 def doc_hash(spark, sf_dir):
     return tables.order_docs(spark, sf_dir).select("id", ids.doc_hash("doc").alias("hash"))

@@ -153,6 +153,13 @@ def wal_repair(spark, sf_dir):
     return both.groupBy("part").agg(F.count("*").alias("n"))
 
 
+@query(_LOG + "SELECT CASE WHEN seq > (SELECT coalesce(max(seq), 0) FROM log WHERE op = 'checkpoint') THEN 'kept' ELSE 'archived' END AS part, count(*) AS n FROM log GROUP BY ALL")
+def wal_truncate(spark, sf_dir):
+    kept, old = mvcc.truncate(_log(spark, sf_dir))
+    both = kept.withColumn("part", F.lit("kept")).unionByName(old.withColumn("part", F.lit("archived")))
+    return both.groupBy("part").agg(F.count("*").alias("n"))
+
+
 @query("SELECT c_mktsegment AS batch, count(DISTINCT ('0x' || sha256(c_name)[1:4])::INTEGER >> 6) = 1 AS atomic FROM customer GROUP BY 1")
 def put_batch_atomic_check(spark, sf_dir):
     """Whether a batch stays within one shard."""
@@ -285,6 +292,17 @@ def shard_chi2(spark, sf_dir):
     return integrity.chi_square(h, ids.SHARDS).select(F.round("chi2", 6).alias("chi2"), "n")
 
 
+@query(_HIST + "SELECT CASE shard WHEN 7 THEN 9 ELSE shard END AS shard, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY 1")
+def shard_migrate(spark, sf_dir):
+    return integrity.shard_histogram(tables.order_docs(spark, sf_dir), integrity.migrate(ids.route("id"), 7, 9))
+
+
+@query("SELECT count(*) AS entries, CAST(sum(strlen(printf('%08d', doc_id))) AS BIGINT) AS key_bytes, CAST(sum(strlen(text)) AS BIGINT) AS value_bytes, count(*) FILTER (strlen(text) > 2048) AS large FROM documents")
+def page_stats(spark, sf_dir):
+    d = tables.table(spark, sf_dir, "documents")
+    return integrity.table_stats(tables.entries(d, F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.col("text")))
+
+
 # the change feed: events with kinds, by shard
 
 _FEED = "WITH f AS (SELECT event_id AS seq, CASE event_type WHEN 'purchase' THEN 'compaction' WHEN 'signup' THEN 'prune' ELSE 'mutation' END AS kind, CAST(user_id % 16 AS INTEGER) AS shard, printf('%08d', user_id) AS key, printf('%012d', event_id) AS ver, event_type = 'error' AS deleted, event_type AS value FROM events) "

@@ -183,6 +183,17 @@ class Store:
         self.put(row["id"], doc, coll)
         return row["id"]
 
+    # audit
+
+    def note(self, kind: str, ref: str) -> int:
+        """Append to the journal of what was done to the store itself."""
+        return self.append(self.spark.createDataFrame([("\0A", f"{len(self.commits()):012d}", False, json.dumps({"kind": kind, "ref": ref}))], "coll string, key string, deleted boolean, value string"), "note")
+
+    def journal(self) -> DataFrame:
+        """(n, kind, ref) in order of the notes."""
+        v = mvcc.latest(self.versions("\0A"))
+        return v.select(F.col("key").alias("n"), F.get_json_object("value", "$.kind").alias("kind"), F.get_json_object("value", "$.ref").alias("ref")).orderBy("n")
+
     # transactions
 
     def begin(self) -> Transaction:
