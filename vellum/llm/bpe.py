@@ -202,13 +202,18 @@ class Codec:
         return got
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        out = []
-        for pieces in pretokens(texts):
-            got = list(map(self.cache.get, pieces))
-            if None in got:
-                got = [self._merged(p) if g is None else g for p, g in zip(pieces, got, strict=True)]
-            out.append(np.frombuffer(b"".join(got), dtype="<i4"))
+        """The ids of each text; the slices of about a million characters are held at once."""
+        out, begin, size = [], 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size < _CHARS // 2 and i + 1 < len(texts):
+                continue
+            for pieces in pretokens(texts[begin : i + 1]):
+                got = list(map(self.cache.get, pieces))
+                if None in got:
+                    got = [self._merged(p) if g is None else g for p, g in zip(pieces, got, strict=True)]
+                out.append(np.frombuffer(b"".join(got), dtype="<i4"))
+            begin, size = i + 1, 0
         return out
 
     def offsets(self, ids: np.ndarray) -> np.ndarray:
@@ -244,7 +249,8 @@ def _lists(parts: list[np.ndarray], kind):
 
 
 def functions(spark: SparkSession, path: str | None = None):
-    """Column functions: encode(text) -> array<int>, decode(ids) -> binary, offsets(ids) -> array<int>.
+    """Column functions: encode(text) -> array<int>, decode(ids) -> binary, offsets(ids) -> array<int>,
+    and round_trip(text) -> struct of the ids and of what they decode to.
 
     The table is read on the driver (under 1 MB) and sent once. A null text encodes as an empty
     one, to no ids; no ids decode to no bytes.
@@ -270,7 +276,13 @@ def functions(spark: SparkSession, path: str | None = None):
     def offsets(ids: pa.Array) -> pa.Array:
         return _lists([codec(table.value).offsets(x) for x in split(ids)], np.int32)
 
-    return encode, decode, offsets
+    @F.arrow_udf("struct<input_ids:array<int>,decoded:binary>")
+    def round_trip(text: pa.Array) -> pa.Array:
+        c = codec(table.value)
+        ids = c.encode([t or "" for t in text.to_pylist()])
+        return pa.StructArray.from_arrays([_lists(ids, np.int32), pa.array([c.decode(x) for x in ids], pa.binary())], ["input_ids", "decoded"])
+
+    return encode, decode, offsets, round_trip
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -278,8 +290,8 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     Null and empty texts have no ids and decode to no bytes; repeated rows are each encoded.
     """
-    encode, decode, _ = functions(docs.sparkSession, path)
-    return docs.select("doc_id", encode("text").alias("input_ids")).select("doc_id", "input_ids", decode("input_ids").alias("decoded"))
+    round_trip = functions(docs.sparkSession, path)[3]  # one function: a task needs one worker
+    return docs.select("doc_id", round_trip("text").alias("r")).select("doc_id", "r.input_ids", "r.decoded")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
