@@ -42,7 +42,13 @@ def materialise(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
     shuffle files of finished jobs until it does, which in a long-running driver can be hours.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    few = "spark.sql.adaptive.coalescePartitions.parallelismFirst"  # files of the advisory size, not one a core
+    before = spark.conf.get(few)
+    spark.conf.set(few, "false")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(few, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._vellum_path = path
     if free:
