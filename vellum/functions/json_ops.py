@@ -73,8 +73,13 @@ def project(doc: Column | str, names: Sequence[str]) -> Column:
     """The listed top-level fields that exist, keys sorted; any other text passes through; no names: the whole."""
     if not names:
         return column(doc)
-    m = as_map(doc)
-    return F.coalesce(F.to_json(sorted_map(F.map_filter(m, lambda k, _: k.isin(*names)))), column(doc))
+    kept = F.map_filter(as_map(doc), lambda k, _: k.isin(*names))
+    return F.coalesce(F.to_json(let(kept, sorted_map)), column(doc))
+
+
+def let(value: Column, fn) -> Column:
+    """fn of a value that is computed once, however often fn uses it."""
+    return F.get(F.transform(F.array(value), fn), 0)
 
 
 def as_map(doc: Column | str) -> Column:
@@ -110,6 +115,10 @@ def clear_field(m: Column, name: str) -> Column:
 MUTATIONS = {1: set_field, 2: set_if_absent, 3: incr_u64, 8: clear_field}
 
 
+def _step(op: dict):
+    return lambda m: clear_field(m, op["f"]) if op["op"] == 8 else MUTATIONS[op["op"]](m, op["f"], op.get("v"))
+
+
 def mutate(doc: Column | str, ops: Sequence[dict]) -> Column:
     """Apply {op, f, v} operations in order; the result's keys are sorted. Null if doc is no object."""
     m = as_map(doc)
@@ -118,8 +127,8 @@ def mutate(doc: Column | str, ops: Sequence[dict]) -> Column:
             raise ValueError("a mutation names its field")
         if op.get("op") not in MUTATIONS:
             raise ValueError(f"no such mutation: {op.get('op')}")
-        m = clear_field(m, op["f"]) if op["op"] == 8 else MUTATIONS[op["op"]](m, op["f"], op.get("v"))
-    return F.to_json(sorted_map(m))
+        m = let(m, _step(op))
+    return F.to_json(let(m, sorted_map))
 
 
 def filter_column(doc: Column | str, spec: Any) -> Column:

@@ -40,7 +40,7 @@ _add("sql_intersect", "customer supplier", "SELECT c_nationkey AS k FROM {custom
 _add("sql_grouping_sets", "orders", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())")
 _add("sql_rollup", "lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 _add("sql_cte", "orders", "WITH big AS (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey) SELECT n, count(*) AS customers FROM big GROUP BY n")
-_add("sql_recursive_cte", "nation", "WITH RECURSIVE r(k, depth) AS (SELECT n_nationkey, 0 FROM {nation} WHERE n_nationkey = 0 UNION ALL SELECT n_nationkey, depth + 1 FROM r JOIN {nation} ON n_nationkey = k + 1) SELECT k, depth FROM r")
+_add("sql_recursive_cte", "nation", "WITH RECURSIVE r(k, depth) AS (SELECT n_nationkey, 0 FROM {nation} WHERE n_nationkey = 0 UNION ALL SELECT n_nationkey, depth + 1 FROM r JOIN {nation} ON (n_nationkey - 1) DIV 2 = k AND n_nationkey > 0) SELECT k, depth FROM r", "WITH RECURSIVE r(k, depth) AS (SELECT n_nationkey, 0 FROM nation WHERE n_nationkey = 0 UNION ALL SELECT n_nationkey, depth + 1 FROM r JOIN nation ON (n_nationkey - 1) // 2 = k AND n_nationkey > 0) SELECT k, depth FROM r")
 _add("sql_distinct_agg", "lineitem", "SELECT l_suppkey, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_orderkey) AS orders FROM {lineitem} GROUP BY l_suppkey")
 _add("sql_having_in", "part lineitem", "SELECT p_brand, count(*) AS n FROM {part} WHERE p_partkey IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity >= 45) GROUP BY p_brand HAVING count(*) > 2")
 _add("sql_pricing_summary", "lineitem", f"SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty, CAST(sum({_CENTS.format('l_extendedprice')}) AS BIGINT) AS cents, CAST(sum({_CENTS.format('l_extendedprice')} * (100 - {_CENTS.format('l_discount')})) AS BIGINT) AS discounted, count(*) AS n FROM {{lineitem}} WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus")
