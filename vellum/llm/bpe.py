@@ -21,7 +21,7 @@ SPACE, BLANK, LETTER, NUMBER, OTHER, ONE, TWO, END = range(8)
 _START, _BLANK, _LETTER, _NUMBER, _OTHER, _NEED1, _NEED2, _DONE = range(8)
 #: White space of the pattern's \\s.
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_BLOCK, _CHARS, _CACHE = 256, 1 << 20, 200_000
+_BLOCK, _CHARS, _CACHE = 256, 1 << 20, 100_000
 
 
 def _transitions() -> np.ndarray:
@@ -202,11 +202,11 @@ class Codec:
         return got
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text; the slices of about a million characters are held at once."""
+        """The ids of each text; the slices of about a quarter of a million characters are held at once."""
         out, begin, size = [], 0, 0
         for i, t in enumerate(texts):
             size += len(t)
-            if size < _CHARS // 2 and i + 1 < len(texts):
+            if size < _CHARS // 4 and i + 1 < len(texts):
                 continue
             for pieces in pretokens(texts[begin : i + 1]):
                 got = list(map(self.cache.get, pieces))

@@ -44,7 +44,7 @@ class _Codes(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         w = word.decode("utf-8", "replace")
         plain = w.strip(_EDGE)
