@@ -114,7 +114,7 @@ def close_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS,
     ship(spark)
     tables = masks(blocks, distance)
     keys = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in tables])).alias("t", "k"))
-    sizes = keys.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = materialise(keys.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     members = keys.join(sizes, ["t", "k"])
     fine = spark.createDataFrame([(t, _signed(m)) for t, mask in enumerate(tables) for m in fine_masks(mask, distance=distance)], "t int, m long")
     # broadcast: a fixed table of len(tables) * 56 rows
@@ -141,9 +141,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, d
     """
     fp = materialise(fingerprints(docs, shingle, seed), "fingerprints")
     links = close_links(fp.select("fp").distinct(), distance, blocks, bucket)
-    roots = connected_components(links, "a", "b").withColumnRenamed("node", "fp")
+    # what is joined to the documents is a table of its own, so that the join can split a hot key
+    roots = materialise(connected_components(links, "a", "b").withColumnRenamed("node", "fp"), "roots")
     rooted = fp.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    ids = materialise(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "components")
     return rooted.join(ids, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
