@@ -84,7 +84,7 @@ def quality(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LIN
     """
     rows = materialise(statistics(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")).withColumn("rid", F.monotonically_increasing_id()), "quality")
     hit = rows.select("rid", "host", F.explode("lines").alias("l")).select("rid", "host", F.col("l.h").alias("h"), F.col("l.w").alias("w"))
-    hit = hit.join(frequent_lines(rows, line_docs, line_share), ["host", "h"]).groupBy("rid").agg(F.sum("w").alias("n_frequent_words"))
+    hit = hit.join(materialise(frequent_lines(rows, line_docs, line_share), "frequent"), ["host", "h"]).groupBy("rid").agg(F.sum("w").alias("n_frequent_words"))
     out = rows.drop("lines").join(hit, "rid", "left").withColumn("n_frequent_words", F.coalesce("n_frequent_words", F.lit(0)))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     depleted = F.col("n_words") - F.col("n_frequent_words") < F.col("n_words") * left_share
@@ -93,3 +93,33 @@ def quality(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LIN
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
+
+
+#: For ids that are unique.
+OP3_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), l AS (
+  SELECT rid, host, line, array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS norm
+  FROM (SELECT rid, host, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), dup AS (
+  SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY rid
+), f AS (
+  SELECT host, norm FROM (SELECT host, norm, count(DISTINCT rid) AS n FROM l GROUP BY ALL) JOIN (SELECT host, count(*) AS docs FROM d GROUP BY host) USING (host) WHERE n > 10 AND n > docs * 0.02
+), often AS (
+  SELECT rid, sum(len(string_split(norm, ' '))) AS n_frequent_words FROM l JOIN f USING (host, norm) GROUP BY rid
+), p AS (
+  SELECT rid, generate_subscripts(words, 1) AS pos, unnest(words) AS w FROM d
+), g AS (
+  SELECT rid, pos, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM p WINDOW o AS (PARTITION BY rid ORDER BY pos)
+), c AS (
+  SELECT rid, pos, w3 IS NOT NULL AND count(*) OVER (PARTITION BY rid, w, w2, w3) > 1 AS again FROM g
+), r AS (
+  SELECT rid, count(*) FILTER (hit) AS n_repeat_words FROM (SELECT rid, bool_or(again) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS hit FROM c) GROUP BY rid
+), s AS (
+  SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(n_frequent_words, 0) AS BIGINT) AS n_frequent_words
+  FROM d LEFT JOIN dup USING (rid) LEFT JOIN often USING (rid) LEFT JOIN r USING (rid)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_frequent_words >= n_words * 0.3 AS kept FROM s
+"""
