@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import documents, keyed
+from vellum.llm.common import documents, keyed, materialise
 
 WINDOW = 3
 
@@ -23,6 +23,7 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     w = windows(docs, window)
     at = F.struct("dk", "th", "pos")
     first = w.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1").drop("n")
+    first = materialise(first, "lines")  # so that the join can split a line that is very common
     return w.join(first, ["h1", "h2"]).where(at > F.col("first")).select("dk", "th", "pos")
 
 
