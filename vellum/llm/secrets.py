@@ -40,7 +40,7 @@ def labelled_samples(spark: SparkSession) -> DataFrame:
     random = spark.range(2000).select(F.explode(F.array(F.substring(digest, 1, 40), b64, F.translate(b64, "+/=", "xY7"))).alias("sample"))
     w = spark.range(1).select(F.explode(F.split(F.lit(_PARTS), " ")).alias("w"))
     words = F.split(F.lit(_PARTS), " ")
-    three = w.select("w", F.explode(words).alias("v")).select("w", "v", F.explode(F.slice(words, 1, 12)).alias("u")).where("w <> v and v <> u")
+    three = w.select("w", F.explode(words).alias("v")).select("w", "v", F.explode(F.slice(words, 1, 5)).alias("u")).where("w <> v and v <> u")
     styles = F.array(F.concat_ws("_", "w", "v", "u"), F.concat_ws("-", "w", "v", "u"), F.concat("w", F.initcap("v"), F.initcap("u")), F.upper(F.concat_ws("_", "w", "v", "u")), F.concat_ws("/", "w", "v", "u"), F.concat("w", "v", "u"))
     ordinary = three.select(F.explode(styles).alias("sample"))
     return random.withColumn("label", F.lit(1)).unionByName(ordinary.withColumn("label", F.lit(0)))
@@ -69,7 +69,7 @@ def log_ratios(samples: DataFrame, smooth: float = 0.5) -> list[float]:
 def ratio(s: Column, table: list[float]) -> Column:
     """The log-likelihood ratio of a string of the alphabet."""
     n = len(ALPHABET)
-    lookup = F.array(*[F.lit(round(x, 6)) for x in table])
+    lookup = F.expr(f"array({', '.join(f'{x:.6f}D' for x in table)})")  # one literal, folded when planned
     codes = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c))
     pairs = F.zip_with(F.slice(codes, 1, F.length(s) - 1), F.slice(codes, 2, F.length(s) - 1), lambda a, b: F.get(lookup, (a - 1) * n + b - 1))
     return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
