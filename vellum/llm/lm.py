@@ -83,13 +83,19 @@ def _unpack(blob: bytes, kinds: list) -> list[np.ndarray]:
     return out
 
 
-def _bigram_blobs(context: np.ndarray, token: np.ndarray, shards: int):
-    """(shard, blob): distinct bigrams with counts, by the shard of the context, grouped by context."""
-    _, first, count = np.unique(pair_key(context, token), return_index=True, return_counts=True)
+def bigram_shard(context: np.ndarray, key: np.ndarray, shards: int, hot: np.ndarray) -> np.ndarray:
+    """Where a bigram is kept: with its context, or, if that is a hot one, by its own hash."""
+    return np.where(np.isin(context, hot), key, context) % np.uint64(shards)
+
+
+def _bigram_blobs(context: np.ndarray, token: np.ndarray, shards: int, hot: np.ndarray):
+    """(shard, blob): distinct bigrams with counts, grouped by context."""
+    key, first, count = np.unique(pair_key(context, token), return_index=True, return_counts=True)
     context, token = context[first], token[first]
-    order = np.lexsort((context, context % np.uint64(shards)))
-    context, token, count = context[order], token[order], count[order].astype(np.uint32)
-    cut = np.searchsorted(context % np.uint64(shards), np.arange(shards + 1, dtype=np.uint64))
+    shard = bigram_shard(context, key, shards, hot)
+    order = np.lexsort((context, shard))
+    context, token, count, shard = context[order], token[order], count[order].astype(np.uint32), shard[order]
+    cut = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
     for s in range(shards):
         for a in range(cut[s], cut[s + 1], _BLOB):
             b = min(a + _BLOB, cut[s + 1])
@@ -186,6 +192,7 @@ class Model:
 
     folder: str
     shards: int
+    hot: np.ndarray  # contexts whose bigrams are dealt over all shards
     tokens: int  # N
     types: int  # V
     bigrams: int
@@ -194,18 +201,40 @@ class Model:
     back: float  # weight of the uniform distribution
 
 
+def hot_contexts(docs: DataFrame, shards: int) -> np.ndarray:
+    """Contexts that are more than an eighth of a shard's share of the tokens, at most 8 * shards.
+
+    Counted on one text in 32, by a hash; only where bigrams are kept depends on it, not a count.
+    """
+
+    def count(batches):
+        tokens = Tokens()
+        for batch in batches:
+            texts = as_bytes(batch.column(0))
+            for a, b in _groups(texts):
+                word, n = np.unique(tokens.of(texts[a:b])[0], return_counts=True)
+                often = n > n.sum() // (64 * shards)
+                word, n = np.append(word[often], np.uint64(0)), np.append(n[often], n.sum())  # 0: all
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(32)) == 0)
+    rows = some.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(8 * shards + 1).collect()
+    total = next((r["n"] for r in rows if r["word"] == 0), 0)
+    return np.array([r["word"] for r in rows if r["word"] != 0 and 8 * shards * r["n"] > total], dtype=np.int64).view(np.uint64)
+
+
 def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
     """Count the bigrams of all texts and write the model to the shared folder.
 
     Workers count what they read and send, for each shard of contexts, the distinct bigrams and
-    counts in one blob. One task a shard merges them, writes the shard, and sends on the sums of
+    counts in blobs. The bigrams of hot contexts are dealt over all shards. One task a shard merges them, writes the shard, and sends on the sums of
     words: how often a word occurs, how many contexts it follows, how many types follow it.
     Tasks of a second round merge those. Only sums of each shard come to the driver.
     """
     spark = docs.sparkSession
     ship(spark)
     shards = max(8, -(-total_bytes(docs) // shard_bytes))
-    folder = scratch_path(spark, "lm")
+    folder, hot = scratch_path(spark, "lm"), hot_contexts(docs, shards)
 
     def count(batches):
         tokens, waiting = Tokens(), []
@@ -213,7 +242,7 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
         def flush():
             context, token = (np.concatenate(x) for x in zip(*waiting, strict=True))
             waiting.clear()
-            rows = _bigram_blobs(context, token, shards)
+            rows = _bigram_blobs(context, token, shards, hot)
             while part := list(islice(rows, 16)):
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in part], pa.int32()), pa.array([b for _, b in part], pa.binary())], names=["shard", "blob"])
 
@@ -261,7 +290,7 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
     b = np.sum([np.array(r["bigrams"]).reshape(-1, 4).sum(axis=0) for r in told], axis=0).tolist() if told else [0] * 4
     d_cont = discounts(w[3:7])
     back = (d_cont[0] * w[3] + d_cont[1] * w[4] + d_cont[2] * w[7]) / w[2] if w[2] else 1.0
-    return Model(folder, shards, w[0], w[1], w[2], discounts(b), d_cont, back)
+    return Model(folder, shards, hot, w[0], w[1], w[2], discounts(b), d_cont, back)
 
 
 class Scorer:
@@ -307,7 +336,7 @@ class Scorer:
         base = np.log10((c + 0.1) / (m.tokens + 0.1 * (m.types + 1)))
         of_token, of_context = inverse[: len(token)], inverse[len(token) :]
         key, at, pair = np.unique(pair_key(context, token), return_index=True, return_inverse=True)
-        (count,) = self._find("bigram", context[at] % np.uint64(m.shards), key, ("n",))
+        (count,) = self._find("bigram", bigram_shard(context[at], key, m.shards, m.hot), key, ("n",))
         count = count[pair]
         p = np.maximum(count - self._discount(count, m.d), 0) / np.maximum(total[of_context], 1) + gamma[of_context] * p_word[of_token]
         begin = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
