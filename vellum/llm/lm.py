@@ -51,7 +51,7 @@ class Tokens:
             sizes.append(len(w) + 1)
         token = np.concatenate([np.zeros(0, np.uint64), *parts])
         n = np.array(sizes, dtype=np.int64)
-        context = np.concatenate([[BEGIN], token[:-1]]).astype(np.uint64) if len(token) else token
+        context = np.concatenate([np.array([BEGIN], dtype=np.uint64), token[:-1]]) if len(token) else token
         if len(n):
             context[np.cumsum(n)[:-1]] = BEGIN
         return context, token, n
