@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -549,6 +550,41 @@ def test_pipeline(spark, sf, docs, library):
     assert all(out[i]["input_ids"] == library[1].encode_ordinary(t) for i, t in want.items())
 
 
+def brute_similar(rows):
+    """Row -> row of the smallest id of its group, by Jaccard of five-word shingles over all pairs."""
+    sets = []
+    for t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if 9 * both >= 4 * (len(sets[i]) + len(sets[j])) and root[i] != root[j]:
+            a, b = sorted((root[i], root[j]))
+            root = [a if x == b else x for x in root]
+    return root
+
+
+def test_near_dedup_stage_is_jaccard(spark, sf):
+    r = random.Random(12)
+    texts = [sentence(r, r.choice([3, 12, 60, 200])) for _ in range(60)]
+    for t in texts[:60]:
+        for _ in range(r.choice([1, 1, 2, 30])):
+            w = t.split()
+            for _ in range(r.randrange(1 + len(w) // 30)):
+                w[r.randrange(len(w))] = "changed" + str(r.random())
+            texts.append(" ".join(w))
+    got = simhash.stage(spark, frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), sf)
+    assert sorted(i for (i,) in rows_of(got, "doc_id")) == [i for i, root in enumerate(brute_similar(texts)) if i == root]
+
+
+def test_pipeline_keeps_no_near_copy(spark, sf, docs):
+    stages = dict(corpus_pipeline.STAGES)
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    got = sorted(i for (i,) in rows_of(stages["simhash_near_dedup"](spark, df, sf), "doc_id"))
+    assert got == [docs[k][0] for k, root in enumerate(brute_similar([t for _, t, *_ in docs])) if k == root]
+
+
 def test_stages_take_odd_and_empty_tables(spark, sf, odd, empty):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd[1].select(*empty.columns), sf).count() > 0 and stage(spark, empty, sf).count() == 0
