@@ -366,6 +366,14 @@ def test_inconsistent_slots_are_no_match():
     assert items.found(b"If Bob has twice as many apples as Eve then Sue gives Kim half of what Max has left now") == []
 
 
+def test_new_values_may_coincide():
+    text = "A baker makes {} loaves in the morning and {} loaves after noon and sells all of them but two at the market, so how many loaves did the baker sell?"
+    items = decontaminate.Items([(1, text.format(12, 15))])
+    assert items.found(text.format(20, 20).encode()) == items.found(text.format(20, 25).encode()) == [1]
+    twice = decontaminate.Items([(1, text.format(12, 12))])
+    assert twice.found(text.format(20, 25).encode()) == []
+
+
 def test_planted_passages_are_found(spark, sf, docs):
     bench = duckdb.sql(f"SELECT item_id, text FROM '{sf}/benchmark.parquet'").fetchall()
     out = {i: set(x) for i, x in rows_of(queries()["op6_decontaminate"](spark, sf), "doc_id", "item_ids")}

@@ -139,15 +139,15 @@ class Items:
     def _holds(self, i: int, shifts: dict[int, set[int]], words: list[bytes]) -> bool:
         """Whether the matched windows, at one shift or all together, are the item.
 
-        At one shift each slot value of the item must stand for one value of the document and
-        the other way round; then the item is there, with other values or the same.
+        At one shift each slot value of the item must stand for one value of the document; then
+        the item is there, with other values or the same. New values may coincide.
         """
         _, own, slots, coverable = self.rows[i]
         n, need, union = min(WINDOW, len(own)), COVER * coverable, set()
         for shift, offsets in shifts.items():
             covered = {o + j for o in offsets for j in range(n)}
             pairs = {(own[j].strip(_EDGE.encode()), words[shift + j].strip(_EDGE.encode())) for j in covered if slots[j]}
-            if len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}):
+            if len({a for a, _ in pairs}) == len(pairs):
                 if len(covered) >= need:
                     return True
                 union |= covered
