@@ -374,6 +374,22 @@ def test_new_values_may_coincide():
     assert twice.found(text.format(20, 25).encode()) == []
 
 
+def test_names_that_begin_sentences():
+    text = "{0} has 12 red marbles. {0} buys 5 blue marbles. {0} gives 3 green marbles to a friend. How many marbles does {0} have now?"
+    items = decontaminate.Items([(1, text.format("Tom"))])
+    for name in ("Tom", "Bob", "Mary Ann"):
+        assert items.found(f"and so on. {text.format(name)} Then more".encode()) == [1]
+    assert items.found(b"Problem " + text.format("Bob").encode()) == [1]
+    assert items.found(text.format("Bob").replace("Bob buys", "Eve buys").encode()) == []
+
+
+def test_names_of_several_words():
+    text = "a train travels from {0} to {1} in 4 hours and then it goes back from {1} to {0} with a speed that is 20 percent lower than before, so how long does it take?"
+    items = decontaminate.Items([(1, text.format("Boston", "Denver")), (2, "we know that in the year 1990 the city of Los Angeles had more people than all of New York City ever had")])
+    assert items.found(text.format("New York", "Salt Lake City").encode()) == [1]
+    assert items.found(b"so we know that in the year 1980 the city of Rome had more people than all of Paris ever had") == [2]
+
+
 def test_planted_passages_are_found(spark, sf, docs):
     bench = duckdb.sql(f"SELECT item_id, text FROM '{sf}/benchmark.parquet'").fetchall()
     out = {i: set(x) for i, x in rows_of(queries()["op6_decontaminate"](spark, sf), "doc_id", "item_ids")}

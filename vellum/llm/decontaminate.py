@@ -31,7 +31,9 @@ _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/^-]*%?")
 _MEASURE = re.compile(r"([+-]?[$€£]?\d[\d.,]*)([^\W\d_]+(?:/[^\W\d_]+)?|%)")
 _EDGE = "\"'`()[]{}<>.,;:!?¿¡…«»„“”‘’*_"
 _STOP = re.compile(r"[.!?…][\"'”’)\]]*$")
-_NUM, _UNIT, _NAME, _STOPS = 1, 2, 4, 8
+_NUM, _UNIT, _NAME, _STOPS, _TAIL, _HEAD = 1, 2, 4, 8, 16, 32
+#: The low bits of a code.
+_KINDS = np.uint64(63)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Hashes of the placeholders.
 _SLOTS = {k: np.uint64(v) for k, v in ((_NUM, 0xA24BAED4963EE407), (_UNIT, 0x9FB21C651E98DF25), (_NAME, 0xC3A5C85C97CB3127))}
@@ -56,38 +58,60 @@ class _Codes(dict):
         elif plain[:1].isupper():
             kind = _NAME
         kind |= _STOPS if _STOP.search(w) else 0
-        code = self[word] = xxh64_intdigest(plain.lower().encode(), 7) & ~15 | kind
+        kind |= _TAIL * (w[-1:] in _EDGE) | _HEAD * (w[:1] in _EDGE)
+        code = self[word] = xxh64_intdigest(plain.lower().encode(), 7) & ~63 | kind
         return code
 
 
 _CODES = _Codes()
 
 
-def template(text: bytes | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words, their template hashes, and which of them are slots.
+class Template:
+    """The tokens of a text in one form: their hashes ``h`` and which of them are ``slots``."""
+
+    def __init__(self, words: list[bytes], h: np.ndarray, slots: np.ndarray, joined: np.ndarray):
+        self.words, self.at = words, np.flatnonzero(~joined)
+        self.h, self.slots = h[self.at], slots[self.at]
+
+    def value(self, j: int) -> bytes:
+        """The words of a token."""
+        end = self.at[j + 1] if j + 1 < len(self.at) else len(self.words)
+        return b" ".join(w.strip(_EDGE.encode()) for w in self.words[self.at[j] : end])
+
+
+def templates(text: bytes | None) -> list[Template]:
+    """The text's forms, one or two.
 
     A number (also with its unit attached) is one placeholder; a unit is one after a number; a
-    name is a capitalised word that does not begin a sentence.
+    name is a run of capitalised words with no punctuation in between. Where a capitalised word
+    begins a sentence it can be a name or not: it is a plain word in the first form and (part
+    of) a name in the second.
     """
     words = (text or b"").split()
     code = np.fromiter(map(_CODES.__getitem__, words), dtype=np.uint64, count=len(words))
-    kind = (code & np.uint64(15)).astype(np.uint8)
-    number = (kind & _NUM) > 0
-    after_number = np.concatenate([[False], number[:-1]]) if len(words) else number
-    begins = np.concatenate([[True], (kind[:-1] & _STOPS) > 0]) if len(words) else number
-    unit, name = ((kind & _UNIT) > 0) & after_number, ((kind & _NAME) > 0) & ~begins
-    h = code & ~np.uint64(15)
-    for which, slot in ((name, _NAME), (unit, _UNIT), (number, _NUM)):
-        h[which] = _SLOTS[slot]
-    return words, h, number | unit | name
+    kind = (code & _KINDS).astype(np.uint8)
+    before = np.concatenate([[np.uint8(_STOPS | _TAIL)], kind[:-1]])[: len(kind)]
+    number, capital = (kind & _NUM) > 0, (kind & _NAME) > 0
+    unit = ((kind & _UNIT) > 0) & ((before & _NUM) > 0)
+    begins = capital & ((before & _STOPS) > 0)
+    apart = ((before & _TAIL) > 0) | ((kind & _HEAD) > 0)
+    plain = code & ~_KINDS
+    plain[unit], plain[number] = _SLOTS[_UNIT], _SLOTS[_NUM]
+    out = []
+    for name in [capital & ~begins, capital] if begins.any() else [capital]:
+        joined = name & np.concatenate([[False], name[:-1]])[: len(name)] & ~apart
+        out.append(Template(words, np.where(name, _SLOTS[_NAME], plain), number | unit | name, joined))
+    return out
 
 
 def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     if len(h) < n:
         return np.zeros(0, dtype=np.uint64)
     out = np.zeros(len(h) - n + 1, dtype=np.uint64)
+    mixed = h ^ (h >> np.uint64(29))
     for j in range(n):
-        out = out * _MULT + (h[j : j + len(out)] ^ (h[j : j + len(out)] >> np.uint64(29)))
+        out *= _MULT
+        out += mixed[j : j + len(out)]
     return out ^ (out >> np.uint64(32))
 
 
@@ -99,22 +123,24 @@ class Items:
         self.at: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         lengths = set()
         for item, text in rows:
-            words, h, slots = template((text or "").encode())
-            if len(words) < SHORTEST:
-                continue
-            n = min(WINDOW, len(words))
-            plain = np.convolve(~slots, np.ones(n, dtype=int), "valid")
-            good = plain >= min(PLAIN, n)
-            if not good.any():
-                good[:] = True
-            for o, (w, use) in enumerate(zip(window_hashes(h, n).tolist(), good, strict=True)):
-                if use:
-                    self.at[w + (n << 64)].append((len(self.rows), o, n))
-            covered = np.zeros(len(words), dtype=bool)
-            for o in np.flatnonzero(good):
-                covered[o : o + n] = True
-            self.rows.append((item, words, slots, covered.sum()))
-            lengths.add(n)
+            for form, t in enumerate(templates((text or "").encode())):
+                if len(t.words) < SHORTEST:
+                    continue
+                n = min(WINDOW, len(t.h))
+                plain = np.convolve(~t.slots, np.ones(n, dtype=int), "valid")
+                good = plain >= min(PLAIN, n)
+                if not good.any() and not form:
+                    good[:] = True
+                covered = np.zeros(len(t.h), dtype=bool)
+                for o in np.flatnonzero(good):
+                    covered[o : o + n] = True
+                if form and 2 * covered.sum() < len(covered):  # too little besides placeholders; the first form has it
+                    continue
+                for o, (w, use) in enumerate(zip(window_hashes(t.h, n).tolist(), good, strict=True)):
+                    if use:
+                        self.at[w + (n << 64)].append((len(self.rows), o, n))
+                self.rows.append((item, t, covered.sum()))
+                lengths.add(n)
         self.table = {}
         for n in sorted(lengths):
             keys = np.array([k & (1 << 64) - 1 for k in self.at if k >> 64 == n], dtype=np.uint64)
@@ -124,29 +150,32 @@ class Items:
 
     def found(self, text: bytes | None) -> list[int]:
         """Ids of the items that a text holds, sorted."""
-        words, h, _ = template(text)
+        return sorted({item for t in templates(text) for item in self._found(t)})
+
+    def _found(self, t: Template) -> set[int]:
         hits: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         for n, (seen, keys) in self.table.items():
-            w = window_hashes(h, n)
+            w = window_hashes(t.h, n)
             at = np.flatnonzero(seen[(w >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
             if len(at):
                 k = np.minimum(np.searchsorted(keys, w[at]), len(keys) - 1)
                 for p in at[keys[k] == w[at]].tolist():
                     for i, o, _ in self.at[int(w[p]) + (n << 64)]:
                         hits[i][p - o].add(o)
-        return sorted({self.rows[i][0] for i, shifts in hits.items() if self._holds(i, shifts, words)})
+        return {self.rows[i][0] for i, shifts in hits.items() if self._holds(i, shifts, t)}
 
-    def _holds(self, i: int, shifts: dict[int, set[int]], words: list[bytes]) -> bool:
+    def _holds(self, i: int, shifts: dict[int, set[int]], t: Template) -> bool:
         """Whether the matched windows, at one shift or all together, are the item.
 
         At one shift each slot value of the item must stand for one value of the document; then
-        the item is there, with other values or the same. New values may coincide.
+        the item is there, with other values or the same. New values may coincide. A name at
+        the item's edge can have run on into the text around it, and says nothing then.
         """
-        _, own, slots, coverable = self.rows[i]
-        n, need, union = min(WINDOW, len(own)), COVER * coverable, set()
+        _, own, coverable = self.rows[i]
+        n, need, union, edges = min(WINDOW, len(own.h)), COVER * coverable, set(), (0, len(own.h) - 1)
         for shift, offsets in shifts.items():
             covered = {o + j for o in offsets for j in range(n)}
-            pairs = {(own[j].strip(_EDGE.encode()), words[shift + j].strip(_EDGE.encode())) for j in covered if slots[j]}
+            pairs = {(own.value(j), t.value(shift + j)) for j in covered if own.slots[j] and not (j in edges and b" " in t.value(shift + j))}
             if len({a for a, _ in pairs}) == len(pairs):
                 if len(covered) >= need:
                     return True
