@@ -446,6 +446,15 @@ def test_models_separate_held_out_samples(spark):
     assert wrong < 0.001 * samples.where(held).count()
 
 
+def test_secrets_after_a_path_are_found(spark):
+    r = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    texts = ["path/server/request/" + "".join(r.choice(letters) for _ in range(20)) for _ in range(500)]
+    found = sum(1 for n, in rows_of(secrets.scan(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])), "n_random") if n)
+    print("found", found)
+    assert found > 0.8 * len(texts)
+
+
 # 8
 
 
