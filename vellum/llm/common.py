@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -19,11 +20,14 @@ NULL_ID = -(2**63)
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    Taken from ``spark.checkpoint.dir``; only where the session names none (tests, a laptop)
-    a temporary one is made and set.
+    Taken from ``spark.checkpoint.dir``; only where a local session names none (tests, a laptop)
+    a temporary one is made and set. On a cluster that is an error: its machines share no
+    temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="vellum-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -92,12 +96,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``dk`` (doc_id, null first) and ``th`` (64-bit hash of the text) identify a document.
+def keyed(docs: DataFrame, th: str | None = None) -> DataFrame:
+    """``dk`` (doc_id, null first) and ``th`` (64-bit hash of the text, or a column) identify a document.
 
     Rows that agree in both are one document that is listed twice: they get the same result.
     """
-    return docs.withColumns({"dk": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "th": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    text_hash = F.col(th) if th else F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.withColumns({"dk": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "th": text_hash})
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import materialise
+from vellum.llm.common import discard, materialise
 
 
 def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
@@ -19,11 +19,15 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 60
     e, seen = materialise(e, "edges"), None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # least neighbours are tables of their own, so that the joins can split the edges of a hot node
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = materialise(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        e = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        after = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        for done in (e, low, large, least):
+            discard(done)
+        e = after
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break

@@ -6,13 +6,15 @@ for pigeonhole blocks. There anchors find candidates and exact Jaccard decides.
 
 from __future__ import annotations
 
+import functools
+import math
 from itertools import combinations, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import as_bytes, documents, materialise, ship
+from vellum.llm.common import as_bytes, discard, documents, keyed, materialise, ship
 from vellum.llm.components import connected_components
 
 SHINGLE = 3
@@ -27,12 +29,13 @@ FINE_BLOCKS = 8
 #: Of the pipeline's stage: words of a shingle, and the Jaccard similarity (a fraction) of near copies.
 STAGE_SHINGLE = 5
 SIMILAR = (4, 5)
-#: Keys of a text, each of so many least hashes: a pair at Jaccard 0.8 shares no key in 1 of 97,000 cases.
-ANCHORS, ANCHOR_HASHES = 16, 3
+#: Keys of a text, and how many least hashes make one. A pair at Jaccard 0.8 shares no key of the first level
+#: in 1 of 97,000 cases. The further levels cut buckets that are too large to be compared at once.
+LEVELS = ((16, 3), (8, 6), (8, 12))
 #: Bits beyond which a pair is no candidate (a pair at Jaccard 0.8 differs in 10, unrelated texts in 32).
 RADIUS = 24
-#: Buckets up to this size are paired whole at first; of larger ones each text takes its NEAREST.
-WHOLE, NEAREST = 8, 4
+#: A bucket is compared at once up to so many shingles, and up to so many texts times shingles.
+HELD, WORK = 1 << 21, 1 << 28
 _BYTES = np.uint64(0x0101010101010101)
 
 
@@ -119,14 +122,14 @@ def close_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS,
     ``fps`` has distinct ``fp``. Pairs within ``distance`` bits share the key of a table. A
     bucket yields a spanning star of each of its components, never all its pairs. Buckets over
     ``bucket`` values are cut by further blocks of their free bits, again by the pigeonhole
-    principle; a cut bucket has few bits left and so at most 2**12 values.
+    principle; a cut bucket has at most 13 bits left and so at most 8,192 values.
     """
     import pyarrow as pa
 
     spark = fps.sparkSession
     ship(spark)
     tables = masks(blocks, distance)
-    keys = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in tables])).alias("t", "k"))
+    keys = fps.repartition("fp").select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in tables])).alias("t", "k"))
     sizes = materialise(keys.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     members = keys.join(sizes, ["t", "k"])
     fine = spark.createDataFrame([(t, _signed(m)) for t, mask in enumerate(tables) for m in fine_masks(mask, distance=distance)], "t int, m long")
@@ -175,27 +178,34 @@ def shingle_hashes(text: bytes | None, shingle: int = STAGE_SHINGLE, seed: int =
     return np.unique(np.fromiter(map(xxh64_intdigest, grams, repeat(seed)), dtype=np.uint64, count=n))
 
 
-def _mixers() -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.default_rng(SEED)
-    a, b = (r.integers(0, 1 << 64, (ANCHORS * ANCHOR_HASHES, 1), dtype=np.uint64) for _ in range(2))
+@functools.cache
+def _mixers(level: int) -> tuple[np.ndarray, np.ndarray]:
+    r = np.random.default_rng(SEED + level)
+    a, b = (r.integers(0, 1 << 64, (math.prod(LEVELS[level]), 1), dtype=np.uint64) for _ in range(2))
     return a, b | np.uint64(1)
 
 
-def anchors(h: np.ndarray) -> np.ndarray:
+def anchors(h: np.ndarray, level: int = 0) -> np.ndarray:
     """The keys of a text with the shingle hashes ``h``."""
     from xxhash import xxh64_intdigest
 
-    flip, times = _MIXERS
-    least = np.min([((h[at : at + 4096] ^ flip) * times).min(axis=1) for at in range(0, len(h), 4096)], axis=0).reshape(ANCHORS, -1)
+    flip, times = _mixers(level)
+    least = np.min([((h[at : at + 512] ^ flip) * times).min(axis=1) for at in range(0, len(h), 512)], axis=0).reshape(LEVELS[level])
     return np.array([xxh64_intdigest(x.tobytes(), t) for t, x in enumerate(least)], dtype=np.uint64)
 
 
-_MIXERS = _mixers()
-_SKETCH = "doc_id long, sid long, n int, fp long, keys array<long>, hashes array<long>"
+_SKETCH = "doc_id long, th long, sid long, n int, fp long, keys array<long>, hashes array<long>"
+
+
+def _long_lists(parts: list[np.ndarray]):
+    import pyarrow as pa
+
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id; of the text's shingle set its name, size, SimHash, keys and hashes, for every row."""
+    """doc_id and th (hash of the text); of its shingle set the name, size, SimHash, keys and hashes, for every row."""
     import pyarrow as pa
     from xxhash import xxh64_intdigest
 
@@ -205,86 +215,130 @@ def sketches(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 100):  # sets are as large as texts
                 part = batch.slice(at, 100)
-                sets = [shingle_hashes(t) for t in as_bytes(part.column(1))]
+                sets = [shingle_hashes(t) for t in as_bytes(part.column(2))]
                 sid, fp = (np.array(x, dtype=np.uint64).view(np.int64) for x in ([xxh64_intdigest(h.tobytes()) for h in sets], [sum(1 << int(i) for i in np.flatnonzero(2 * bit_counts(h) > len(h))) for h in sets]))
-                lists = [pa.array([x.view(np.int64) for x in y], pa.list_(pa.int64())) for y in ([anchors(h) for h in sets], sets)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sid), pa.array([len(h) for h in sets], pa.int32()), pa.array(fp), *lists], names=["doc_id", "sid", "n", "fp", "keys", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sid), pa.array([len(h) for h in sets], pa.int32()), pa.array(fp), _long_lists([anchors(h) for h in sets]), _long_lists(sets)], names=["doc_id", "th", "sid", "n", "fp", "keys", "hashes"])
+
+    return keyed(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "th", "text").mapInArrow(each, _SKETCH)
+
+
+def similar_links(sid: np.ndarray, fp: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(text, smallest text of its component) within one bucket, by exact Jaccard of sets that are not empty."""
+    order = np.argsort(sid)
+    sid, fp, sets = sid[order], fp[order].view(np.uint64), [sets[i] for i in order.tolist()]
+    sizes, (p, q) = np.array([len(x) for x in sets]), SIMILAR
+    names = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    mine = [names[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    mark, root, left = np.zeros(int(names.max()) + 1, dtype=bool), np.arange(len(sid)), np.arange(len(sid))
+    flat, begin = names, ends - sizes
+    while len(left) > 1:
+        i, left = left[0], left[1:]
+        flat, begin, front = flat[sizes[i] :], begin[1:] - sizes[i], [i]
+        while front and len(left):
+            j = front.pop()
+            mark[mine[j]] = True
+            shared = np.add.reduceat(mark[flat], begin)
+            mark[mine[j]] = False
+            near = ((p + q) * shared >= p * (sizes[left] + sizes[j])) & (np.bitwise_count(fp[left] ^ fp[j]) <= RADIUS)
+            if near.any():
+                root[left[near]] = i
+                front += left[near].tolist()
+                left = left[~near]
+                flat = np.concatenate([mine[x] for x in left.tolist()] or [flat[:0]])
+                begin = np.cumsum(sizes[left]) - sizes[left]
+    moved = np.flatnonzero(root != np.arange(len(sid)))
+    return list(zip(sid[moved].tolist(), sid[root[moved]].tolist(), strict=True))
+
+
+def _compared(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): a spanning star of each component of each list of texts, compared exactly."""
+    import pyarrow as pa
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, _SKETCH)
+    def each(group: pa.Table) -> pa.Table:
+        g = group.combine_chunks()
+        found = similar_links(g.column("sid").to_numpy(), g.column("fp").to_numpy(), [x.values.to_numpy().view(np.uint64) for x in g.column("hashes")])
+        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
+    rows = lists.select(F.xxhash64("sids").alias("bucket"), F.explode("sids").alias("sid")).distinct().join(sets, "sid")
+    return rows.select("bucket", "sid", "fp", "hashes").groupBy("bucket").applyInArrow(each, "a long, b long")
 
-def candidate_pairs(sid: np.ndarray, n: np.ndarray, fp: np.ndarray, root: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Pairs (a < b) of a bucket that can be similar: all of a small bucket, else the nearest of each.
 
-    With ``root``: all pairs whose roots differ.
-    """
-    u, out, most = fp.view(np.uint64), set(), len(sid) if root is not None or len(sid) <= WHOLE else NEAREST
-    for i in range(len(sid)):
-        bits = np.bitwise_count(u ^ u[i])
-        good = (bits <= RADIUS) & (SIMILAR[1] * np.minimum(n, n[i]) >= SIMILAR[0] * np.maximum(n, n[i])) & (sid != sid[i])
-        if root is not None:
-            good &= root != root[i]
-        near = np.flatnonzero(good)
-        if len(near) > most:
-            near = near[np.argsort(bits[near], kind="stable")[:most]]
-        out.update((min(x, int(sid[i])), max(x, int(sid[i]))) for x in sid[near].tolist())
-    return sorted(out)
-
-
-def _pairs(buckets: DataFrame, rooted: bool) -> DataFrame:
-    """(a, b) of each bucket's candidates; ``buckets`` has one array ``x`` of (sid, n, fp, root)."""
+def _finer(members: DataFrame, sets: DataFrame, level: int) -> DataFrame:
+    """(k, sid, n): the members of buckets under keys that also hold further least hashes."""
     import pyarrow as pa
 
     def each(batches):
         for batch in batches:
-            found = set()
-            for x in batch.column(0):
-                sid, n, fp, root = (x.values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-                found.update(candidate_pairs(sid, n.astype(np.int64), fp, root if rooted else None))
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                yield pa.RecordBatch.from_arrays([part.column(0), _long_lists([anchors(x.values.to_numpy().view(np.uint64), level) for x in part.column(1)])], names=["sid", "fine"])
 
-    return buckets.select("x").mapInArrow(each, "a long, b long").distinct()
+    fine = sets.join(members.select("sid").distinct(), "sid", "left_semi").select("sid", "hashes").mapInArrow(each, "sid long, fine array<long>")
+    return members.join(fine, "sid").select("k", "sid", "n", F.explode("fine").alias("f")).select(F.xxhash64("k", "f").alias("k"), "sid", "n")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets have Jaccard similarity SIMILAR or more, exactly."""
-    pairs, (p, q) = materialise(pairs, "pairs"), SIMILAR
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    used = materialise(sets.join(ids, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
-    both = pairs.join(used.select(F.col("sid").alias("a"), F.col("hashes").alias("ha")), "a").join(used.select(F.col("sid").alias("b"), F.col("hashes").alias("hb")), "b")
+def _with_leader(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): members of buckets that are similar to the bucket's smallest member."""
+    p, q = SIMILAR
+    leaders = materialise(members.groupBy("k").agg(F.min("sid").alias("b")), "leaders")
+    pairs = members.join(leaders, "k").where("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
+    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("hb")), "b")
     shared, total = F.size(F.array_intersect("ha", "hb")).cast("long"), F.size("ha").cast("long") + F.size("hb")
-    return materialise(both.where(shared * (p + q) >= total * p).select("a", "b"), "similar")
+    return both.where(shared * (p + q) >= total * p).select("a", "b")
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) for every row: the smallest id reachable over links of Jaccard SIMILAR.
+def bucket_links(members: DataFrame, sets: DataFrame, level: int = 0, held: int = HELD, work: int = WORK) -> DataFrame:
+    """(a, b): links that join the similar texts of each bucket; ``members`` has distinct (k, sid, n).
 
-    Candidates share a key and lie within RADIUS bits; exact Jaccard decides. Of large buckets
-    only nearest texts are compared at first; then all pairs of a bucket that are not joined yet
-    are, so every pair that shares a key is joined or compared. Nulls and repeats are as in
-    near_duplicates(). A bucket is one list of 28 bytes a distinct text.
+    A bucket is compared whole in one task if its texts are few and short enough; it yields a
+    star of each component, never its pairs. A larger one is cut by the keys of the next level,
+    which hold more hashes. What the last level leaves too large agrees in all hashes of its
+    three keys, 21 of them: there each text is compared with the bucket's smallest alone.
+    """
+    sizes = members.groupBy("k").agg(F.count("*").alias("size"), F.sum("n").alias("w")).where("size > 1")
+    large = (F.col("w") > held) | (F.col("size") * F.col("w") > work)
+    sizes = materialise(sizes.select("k", large.alias("large")), "sizes")
+    every = materialise(members.join(sizes, "k"), "members")
+    lists = every.where("not large").groupBy("k").agg(F.sort_array(F.collect_list("sid")).alias("sids")).select("sids").distinct()
+    links = materialise(_compared(lists, sets), "links")
+    hot = every.where("large").drop("large")
+    if not hot.isEmpty():
+        more = _with_leader(hot, sets) if level + 1 == len(LEVELS) else bucket_links(materialise(_finer(hot, sets, level + 1).distinct(), "finer"), sets, level + 1, held, work)
+        links = links.unionByName(more)
+    return links
+
+
+def similar_groups(docs: DataFrame, **kwargs) -> DataFrame:
+    """(doc_id, th, root) for every row: rows with one root are joined by links of Jaccard SIMILAR; th is a hash of the text.
+
+    Candidates share a key and lie within RADIUS bits; exact Jaccard of the whole sets decides.
+    Links are transitive. Texts without a word are alike. A very long text is one set of 8 bytes
+    a word. Other columns are ignored; further arguments are bucket_links()'s.
     """
     rows = materialise(sketches(docs), "sketches")
-    nodes = materialise(rows.select("sid", "n", "fp", "keys").dropDuplicates(["sid"]), "nodes")
-    keys = nodes.select("sid", "n", "fp", F.explode("keys").alias("k"))
-    sizes = materialise(keys.groupBy("k").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    members = materialise(keys.join(sizes, "k"), "members")
-    sets = rows.select("sid", "hashes")
-    listed = lambda m: m.groupBy("k").agg(F.collect_list(F.struct("sid", "n", "fp", "root")).alias("x"))
-    links = _similar(_pairs(listed(members.withColumn("root", F.col("sid"))), False), sets)
+    keys = rows.select("sid", "n", F.explode("keys").alias("k")).distinct()
+    shared = materialise(keys.groupBy("k").agg(F.count("*").alias("size")).where("size > 1").select("k"), "shared")
+    members = materialise(keys.join(shared, "k"), "candidates")
+    wanted = materialise(members.select("sid").distinct(), "wanted")
+    sets = materialise(rows.join(wanted, "sid", "left_semi").select("sid", "fp", "hashes").dropDuplicates(["sid"]), "sets", free=True)
+    names = materialise(rows.select("doc_id", "th", "sid"), "names")
+    for done in (rows, shared, wanted):
+        discard(done)
+    links = materialise(bucket_links(members, sets, **kwargs), "similar")
     roots = materialise(connected_components(links, "a", "b").withColumnRenamed("node", "sid"), "roots")
-    large = members.where(F.col("size") > WHOLE).join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    more = _similar(_pairs(listed(large), True), sets)
-    roots = materialise(connected_components(links.unionByName(more), "a", "b").withColumnRenamed("node", "sid"), "roots")
-    rooted = rows.select("doc_id", "sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    ids = materialise(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "components")
-    return rooted.join(ids, "root").select("doc_id", "component_id")
+    return names.join(roots, "sid", "left").select("doc_id", "th", F.coalesce("root", "sid").alias("root"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies (similar_groups()).
+    """Keep one row of each group of near copies (similar_groups()): the one with the smallest id.
 
-    Rows with a null id stay. Rows that repeat an id stay or go together.
+    Null ids come last; of rows that repeat an id the smaller text hash comes first, and of rows
+    that repeat id and text any one stays. So texts without a word are one group. Other columns
+    pass through whatever their names.
     """
-    groups = similar_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    first = similar_groups(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
+    first = materialise(keyed(first.select("first.doc_id", "first.th"), "th").select("dk", "th"), "kept", free=True)
+    own = docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns], "doc_id", "text")
+    kept = keyed(own).drop("doc_id", "text").join(first, ["dk", "th"], "left_semi").dropDuplicates(["dk", "th"])
+    return kept.select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
