@@ -4,8 +4,9 @@
    anchors, so only segments whose anchor recurs can hold a repeated window.
 2. Segments of one content are settled by the first of them. What remains are first segments
    whose anchor also has another content.
-3. Those go, by anchor, to shards where ``resolve`` finds which of their windows repeat. Anchors
-   with very many contents are settled window by window, with aggregates and equi-joins alone.
+3. Those go, by anchor, to shards where ``resolve`` finds which of their windows repeat. The
+   contents of an anchor that has too many for a shard are cut again in the same way, with longer
+   anchors and at last whole windows, of which each has one content.
 4. The removed windows of a text are merged to runs.
 
 All links between rows are aggregates and joins on hashes, so a passage in a third of all
@@ -23,28 +24,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import as_bytes, discard, keyed, materialise, ship
-from vellum.llm.winnow import mix, segments, span_hashes
+from vellum.llm.winnow import segments
 
-#: Contents of one anchor that a shard takes; anchors with more are settled window by window.
-CONTENTS = 1000
-#: First segments of a shard.
-SHARD = 20_000
-_SEG = "h long, sig long, dk long, th long, q long, content binary, contents long"
+#: Contents of one anchor that a shard takes; those of anchors with more are cut again.
+CONTENTS = 250
+#: First segments of a shard, about.
+SHARD = 1_000
+_SEG = "h long, sig long, dk long, th long, base long, q long, content binary, contents long"
 
 
 @dataclass(frozen=True)
 class Unit:
     """How a text is a sequence of units.
 
-    split: text -> units; values: units -> uint64 hashes; join: units -> bytes; window and gram
-    in units, window - gram + 1 at most 256; strict: only a smaller doc_id counts as earlier.
+    split: text -> units; values: units -> uint64 hashes; join: units -> bytes; window and grams
+    (of the anchors, from the first cut to the last, which is a window) in units, window - gram
+    + 1 at most 256; strict: only a smaller doc_id counts as earlier.
     """
 
     split: Callable
     values: Callable
     join: Callable
     window: int
-    gram: int
+    grams: tuple[int, ...]
     strict: bool
 
 
@@ -67,76 +69,55 @@ def _pieces(texts: list, most: int = 2_000_000):
             begin, size = i + 1, 0
 
 
-def segment_rows(docs: DataFrame, unit: Unit) -> DataFrame:
-    """(dk, th, h[], sig[], q[]) of each text; q packs lo, hi - lo and p - lo."""
+def segment_rows(texts: DataFrame, unit: Unit, gram: int) -> DataFrame:
+    """(dk, th, base, h[], sig[], q[]) of each (dk, th, base, text); q packs base + lo, hi - lo and p - lo."""
 
     def each(batches):
         for batch in batches:
-            texts = as_bytes(batch.column(2))
-            for a, b in _pieces(texts):
+            rows, base = as_bytes(batch.column(3)), batch.column(2).to_pylist()
+            for a, b in _pieces(rows):
                 h, sig, q = [], [], []
-                for t in texts[a:b]:
-                    s = segments(unit.values(unit.split(t or b"")), unit.window, unit.gram)
+                for t, at in zip(rows[a:b], base[a:b], strict=True):
+                    s = segments(unit.values(unit.split(t or b"")), unit.window, gram)
                     h.append(s.h)
                     sig.append(s.sig)
-                    q.append(((s.lo << 16) | ((s.hi - s.lo) << 8) | (s.p - s.lo)).view(np.uint64))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], _lists(h), _lists(sig), _lists(q)], names=["dk", "th", "h", "sig", "q"])
+                    q.append((((s.lo + at) << 16) | ((s.hi - s.lo) << 8) | (s.p - s.lo)).view(np.uint64))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k)[a:b] for k in range(3)), _lists(h), _lists(sig), _lists(q)], names=["dk", "th", "base", "h", "sig", "q"])
 
-    return keyed(docs).select("dk", "th", "text").mapInArrow(each, "dk long, th long, h array<long>, sig array<long>, q array<long>")
+    return texts.select("dk", "th", "base", "text").mapInArrow(each, "dk long, th long, base long, h array<long>, sig array<long>, q array<long>")
 
 
-def contents(docs: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
-    """The content of the segments ``wanted`` (h, sig, dk, th, q, contents)."""
+def contents(texts: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
+    """The content of the segments ``wanted`` (h, sig, dk, th, base, q, contents)."""
 
     def each(batches):
         for batch in batches:
-            texts, lists = as_bytes(batch.column(2)), batch.column(3)
-            for a, b in _pieces(texts):
-                rows = []
+            rows, lists = as_bytes(batch.column(3)), batch.column(4)
+            for a, b in _pieces(rows):
+                out = []
                 for i in range(a, b):
-                    units = unit.split(texts[i] or b"")
+                    units, (dk, th, base) = unit.split(rows[i] or b""), (batch.column(k)[i].as_py() for k in range(3))
                     for s in lists[i].as_py():
-                        lo, n = s["q"] >> 16, s["q"] >> 8 & 255
-                        rows.append((s["h"], s["sig"], batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), s["q"], unit.join(units[lo : lo + n + unit.window]), s["contents"]))
-                columns = list(zip(*rows, strict=True)) or [[]] * 7
-                kinds = [pa.int64()] * 5 + [pa.binary(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "sig", "dk", "th", "q", "content", "contents"])
+                        lo, n = (s["q"] >> 16) - base, s["q"] >> 8 & 255
+                        out.append((s["h"], s["sig"], dk, th, base, s["q"], unit.join(units[lo : lo + n + unit.window]), s["contents"]))
+                columns = list(zip(*out, strict=True)) or [[]] * 8
+                kinds = [pa.int64()] * 6 + [pa.binary(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "sig", "dk", "th", "base", "q", "content", "contents"])
 
-    lists = wanted.groupBy("dk", "th").agg(F.collect_list(F.struct("h", "sig", "q", "contents")).alias("s"))
-    return keyed(docs).select("dk", "th", "text").join(lists, ["dk", "th"]).select("dk", "th", "text", "s").mapInArrow(each, _SEG)
+    lists = wanted.groupBy("dk", "th", "base").agg(F.collect_list(F.struct("h", "sig", "q", "contents")).alias("s"))
+    return texts.select("dk", "th", "base", "text").join(lists, ["dk", "th", "base"]).select("dk", "th", "base", "text", "s").mapInArrow(each, _SEG)
 
 
-def by_window(seg: DataFrame, unit: Unit) -> DataFrame:
-    """(h, sig, j): windows of the segments that also start earlier, by 128 bits of hash."""
+def repeated_windows(texts: DataFrame, unit: Unit, resolve: Callable[[list[tuple], Unit], list[tuple[int, int, list[int]]]], most_contents: int = CONTENTS, shard: int = SHARD, level: int = 0) -> DataFrame:
+    """(dk, th, base, ranges): windows to remove of each text with any, as first start << 16 | how many.
 
-    def each(batches):
-        for batch in batches:
-            kept: list[tuple] = []
-            for h, sig, dk, th, q, content in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                v, n = unit.values(unit.split(content)), (q >> 8 & 255) + 1
-                at = np.arange(n)
-                w1, w2 = (span_hashes(x, at, at + unit.window) for x in (v, mix(v + np.uint64(1))))
-                kept.append((np.full((4, n), [[h], [sig], [dk], [th]], dtype=np.int64), (q >> 16) + at, at, mix(w1), mix(w2 ^ np.uint64(q & 255) - at.astype(np.uint64))))
-            if kept:
-                ids = np.concatenate([k[0] for k in kept], axis=1)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in ids), *(_long(np.concatenate([k[c] for k in kept])) for c in (1, 2, 3, 4))], names=["h", "sig", "dk", "th", "pos", "j", "w1", "w2"])
-
-    w = materialise(seg.mapInArrow(each, "h long, sig long, dk long, th long, pos long, j long, w1 long, w2 long"), "windows")
-    at = F.struct("dk", "th", "pos")
-    first = materialise(w.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1"), "first")
-    later = F.col("dk") > F.col("first.dk") if unit.strict else at > F.col("first")
-    return w.join(first, ["w1", "w2"]).where(later).select("h", "sig", F.col("j").cast("int").alias("j"))
-
-
-def repeated_windows(docs: DataFrame, unit: Unit, resolve: Callable[[list[tuple], Unit], list[tuple[int, int, list[int]]]], most_contents: int = CONTENTS, shard: int = SHARD) -> DataFrame:
-    """(dk, th, ranges): windows to remove of each text with any, as first start << 16 | how many.
-
-    ``resolve`` takes the (h, sig, dk, th, q, content) rows of a shard and returns, for each
-    (h, sig), the numbers of its windows that also start earlier among the rows.
+    ``texts`` are (dk, th, base, text), base being where the text begins in its document; they
+    are ordered by the first three. ``resolve`` takes the (h, sig, dk, th, q, content) rows of a
+    shard and returns, for each (h, sig), the numbers of its windows that also start earlier
+    among the rows.
     """
-    ship(docs.sparkSession)
-    base = materialise(segment_rows(docs, unit), "segments")
-    rows = base.select("dk", "th", F.explode(F.arrays_zip("h", "sig", "q")).alias("s")).select("dk", "th", "s.*")
+    base = materialise(segment_rows(texts, unit, unit.grams[level]), "segments")
+    rows = base.select("dk", "th", "base", F.explode(F.arrays_zip("h", "sig", "q")).alias("s")).select("dk", "th", "base", "s.*")
     if unit.strict:
         again = rows.groupBy("h").agg(F.min("dk").alias("a"), F.max("dk").alias("b")).where("a < b").select("h")
     else:
@@ -146,10 +127,10 @@ def repeated_windows(docs: DataFrame, unit: Unit, resolve: Callable[[list[tuple]
     occurrences = materialise(rows.join(again, "h", "left_semi"), "occurrences", free=True)
     discard(base)
     discard(again)
-    firsts = materialise(occurrences.groupBy("h", "sig").agg(F.min(F.struct("dk", "th", "q")).alias("first")), "firsts", free=True)
+    firsts = materialise(occurrences.groupBy("h", "sig").agg(F.min(F.struct("dk", "th", "q", "base")).alias("first")), "firsts", free=True)
     mixed = materialise(firsts.groupBy("h").agg(F.count("*").alias("contents")).where("contents > 1"), "mixed")
     unsettled = firsts.join(mixed, "h").select("h", "sig", "first.*", "contents")
-    seg = materialise(contents(docs, unsettled, unit), "contents", free=True)
+    seg = materialise(contents(texts, unsettled, unit), "contents", free=True)
     few, many = seg.where(F.col("contents") <= most_contents), seg.where(F.col("contents") > most_contents)
     shards = -(-few.count() // shard) or 1
 
@@ -158,26 +139,33 @@ def repeated_windows(docs: DataFrame, unit: Unit, resolve: Callable[[list[tuple]
         columns = list(zip(*found, strict=True)) or [[]] * 3
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int32()))], names=["h", "sig", "js"])
 
-    settled = few.groupBy(F.pmod("h", F.lit(shards)).alias("shard")).applyInArrow(each, "h long, sig long, js array<int>")
-    singly = by_window(many, unit).groupBy("h", "sig").agg(F.sort_array(F.collect_set("j")).alias("js"))
-    flags = settled.unionByName(singly).where(F.size("js") > 0).dropDuplicates(["h", "sig"])
+    flags = few.groupBy(F.pmod("h", F.lit(shards)).alias("shard")).applyInArrow(each, "h long, sig long, js array<int>")
+    lo = F.shiftright("q", 16)
+    if level + 1 < len(unit.grams) and not many.isEmpty():
+        parts = many.select("dk", "th", lo.alias("base"), F.col("content").alias("text"))
+        ranges = repeated_windows(parts, unit, resolve, most_contents, shard, level + 1)
+        starts = F.flatten(F.transform("ranges", lambda r: F.sequence(F.shiftright(r, 16), F.shiftright(r, 16) + r.bitwiseAND(F.lit(0xFFFF)) - 1)))
+        cut = many.select("h", "sig", "dk", "th", lo.alias("base")).join(ranges, ["dk", "th", "base"])
+        flags = flags.unionByName(cut.select("h", "sig", F.transform(starts, lambda x: (x - F.col("base")).cast("int")).alias("js")))
+    flags = flags.where(F.size("js") > 0).dropDuplicates(["h", "sig"])
     flagged = materialise(firsts.join(flags, ["h", "sig"], "left"), "flags", free=True)
     for done in (firsts, mixed, seg):
         discard(done)
     o = occurrences.join(flagged, ["h", "sig"])
-    lo, n = F.shiftright("q", 16), F.shiftright("q", 8).bitwiseAND(F.lit(255))
-    later = F.col("dk") > F.col("first.dk") if unit.strict else F.struct("dk", "th", "q") > F.col("first")
+    n = F.shiftright("q", 8).bitwiseAND(F.lit(255))
+    later = F.col("dk") > F.col("first.dk") if unit.strict else F.struct("dk", "th", "q") > F.struct("first.dk", "first.th", "first.q")
     pack = lambda start, count: F.shiftleft(start, 16) + count
     ranges = F.when(later, F.array(pack(lo, n + 1))).otherwise(F.transform("js", lambda j: pack(lo + j, F.lit(1).cast("long"))))
-    o = o.select("dk", "th", ranges.alias("r")).where("r is not null")
-    return o.groupBy("dk", "th").agg(F.flatten(F.collect_list("r")).alias("ranges"))
+    o = o.select("dk", "th", "base", ranges.alias("r")).where("r is not null")
+    return o.groupBy("dk", "th", "base").agg(F.flatten(F.collect_list("r")).alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame, unit: Unit, resolve: Callable, **kwargs) -> DataFrame:
     """(doc_id, n_units, n_removed, runs, kept binary) for every row of ``docs``.
 
     runs: the removed stretches (begin, end) in units, sorted and disjoint; kept: what is left,
-    joined. A null text is an empty one; texts shorter than a window stay whole. Null ids come
+    joined. A null text is an empty one; texts shorter than a window stay whole; very long ones
+    are cut at every anchor and held whole by one task. Null ids come
     first in the order of documents. Rows that repeat both id and text are one document and get
     the same result each; rows that repeat an id with another text are ordered by a hash of the
     text, unless only a smaller id counts. Windows are judged on the input. Other columns are
@@ -185,7 +173,9 @@ def remove_repeats(docs: DataFrame, unit: Unit, resolve: Callable, **kwargs) ->
     """
     window = unit.window
     own = docs.select("doc_id", "text")
-    ranges = repeated_windows(own, unit, resolve, **kwargs)
+    ship(docs.sparkSession)
+    texts = keyed(own).select("dk", "th", F.lit(0).cast("long").alias("base"), "text")
+    ranges = repeated_windows(texts, unit, resolve, **kwargs).drop("base")
 
     def each(batches):
         for batch in batches:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +11,10 @@ from vellum.llm.common import Words, documents
 from vellum.llm.repeats import Unit, remove_repeats
 
 WINDOW = 50
-GRAM = 16
-#: Segments in a shard.
-SHARD = 8_000
+#: Words of an anchor, at each cut.
+GRAMS = (16, 33, 50)
+#: Segments in a shard, about.
+SHARD = 1_000
 #: Words of all patterns in one automaton.
 PATTERN_WORDS = 500_000
 
@@ -24,77 +24,58 @@ def _words() -> Words:
     return Words(23)
 
 
-def _unit(window: int, gram: int) -> Unit:
-    return Unit(lambda t: t.split(), lambda w: _words().of(w), b" ".join, window, gram, True)
+def _unit(window: int, grams: tuple[int, ...]) -> Unit:
+    return Unit(lambda t: t.split(), lambda w: _words().of(w), b" ".join, window, grams, True)
 
 
-def _confirmed(rows: list[tuple], window: int) -> dict[tuple[bytes, ...], int]:
-    """passage -> smallest document, for the passages that a row shares with a smaller document.
-
-    Rows of one anchor are aligned at it, so equal windows have the same place relative to it.
-    """
-    passages: dict[tuple[bytes, ...], int] = {}
-    for _, group in groupby(rows, key=lambda r: r[0]):
-        aligned = [(dk, q & 255, (q >> 8 & 255) + 1, content.split(b" ")) for _, _, dk, _, q, content in group]
-        least: dict[tuple, int] = {}
-        keys = []
-        for dk, off, n, words in aligned:
-            mine = [(off - j, *words[j : j + window]) for j in range(n)]
-            keys.append(mine)
-            for k in mine:
-                if dk < least.get(k, dk + 1):
-                    least[k] = dk
-        for (dk, _, n, words), mine in zip(aligned, keys, strict=True):
-            owners = [least[k] for k in mine]
-            j = 0
-            while j < n:
-                end = j
-                while end < n and owners[end] == owners[j]:
-                    end += 1
-                if owners[j] < dk:
-                    passage = tuple(words[j : end - 1 + window])
-                    passages[passage] = min(owners[j], passages.get(passage, owners[j]))
-                j = end
-    return passages
+def confirmed(texts: list[tuple[int, ...]], dk: list[int], window: int) -> dict[tuple[int, ...], int]:
+    """window -> smallest document, for the windows that more than one document holds."""
+    least: dict[tuple[int, ...], int] = {}
+    again: set[tuple[int, ...]] = set()
+    for text, d in zip(texts, dk, strict=True):
+        for j in range(len(text) - window + 1):
+            w = text[j : j + window]
+            other = least.setdefault(w, d)
+            if other != d:
+                again.add(w)
+                least[w] = min(d, other)
+    return {w: least[w] for w in again}
 
 
 def locate(rows: list[tuple], unit: Unit) -> list[tuple[int, int, list[int]]]:
-    """Confirm the recurring passages of a shard, compile them, stream every segment past them.
+    """Confirm the recurring windows of a shard, compile them, stream every segment past them.
 
-    The automaton reads numbers of words, so a passage matches whole words only. Very many
-    patterns are compiled and streamed part by part.
+    The automaton reads numbers of words, so a window matches whole words only; each hit tells
+    where a segment holds a recurring window and who held it first. Very many patterns are
+    compiled and streamed part by part.
     """
     import ahocorasick
 
-    rows = sorted(rows, key=lambda r: (r[0], r[2], r[3], r[4]))
     number: dict[bytes, int] = {}
-    found: list[set[int]] = [set() for _ in rows]
-    waiting = list(_confirmed(rows, unit.window).items())
     texts = [tuple(number.setdefault(w, len(number)) for w in r[5].split(b" ")) for r in rows]
-    while waiting:
-        automaton, size = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), 0
-        while waiting and size < PATTERN_WORDS:
-            passage, owner = waiting.pop()
-            automaton.add_word(tuple(number[w] for w in passage), (len(passage), owner))
-            size += len(passage)
+    found: list[set[int]] = [set() for _ in rows]
+    waiting = list(confirmed(texts, [r[2] for r in rows], unit.window).items())
+    for at in range(0, len(waiting), max(1, PATTERN_WORDS // unit.window)):
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for w, owner in waiting[at : at + max(1, PATTERN_WORDS // unit.window)]:
+            automaton.add_word(w, owner)
         automaton.make_automaton()
         for r, text, js in zip(rows, texts, found, strict=True):
-            for end, (length, owner) in automaton.iter(text):
-                if owner < r[2]:
-                    js.update(range(end - length + 1, end - unit.window + 2))
+            js.update(end - unit.window + 1 for end, owner in automaton.iter(text) if owner < r[2])
     return [(r[0], r[1], sorted(js)) for r, js in zip(rows, found, strict=True)]
 
 
-def dedup_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD, **kwargs) -> DataFrame:
+def dedup_passages(docs: DataFrame, window: int = WINDOW, grams: tuple[int, ...] = GRAMS, shard: int = SHARD, **kwargs) -> DataFrame:
     """(doc_id, n_units, n_removed, runs, kept): words of windows that start in a smaller doc_id go.
 
     Units are words `[^\\x20\\x09-\\x0D]+`, unchanged; kept words are joined by one blank. See
-    remove_repeats for nulls, short texts and repeated rows.
+    remove_repeats for nulls, short and very long texts and repeated rows.
     """
-    return remove_repeats(docs, _unit(window, gram), locate, shard=shard, **kwargs)
+    return remove_repeats(docs, _unit(window, grams), locate, shard=shard, **kwargs)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup_passages() over all documents, the kept words as a digest."""
     out = dedup_passages(documents(spark, sf_dir))
     return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 

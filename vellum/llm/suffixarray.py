@@ -11,9 +11,10 @@ from vellum.llm.repeats import Unit, remove_repeats
 from vellum.llm.winnow import mix
 
 WINDOW = 100
-GRAM = 32
-#: Segments in a shard: about half a MB of text, of which sorting takes some hundred bytes a byte.
-SHARD = 4_000
+#: Bytes of an anchor, at each cut.
+GRAMS = (32, 66, 100)
+#: Segments in a shard, about: some 150 KB of text, of which sorting takes some hundred bytes a byte.
+SHARD = 1_000
 _COMPARE = 20_000
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -22,8 +23,8 @@ def _values(text: bytes) -> np.ndarray:
     return _BYTE[np.frombuffer(text, dtype=np.uint8)]
 
 
-def _unit(window: int, gram: int) -> Unit:
-    return Unit(lambda t: t, _values, bytes, window, gram, False)
+def _unit(window: int, grams: tuple[int, ...]) -> Unit:
+    return Unit(lambda t: t, _values, bytes, window, grams, False)
 
 
 def _names(*columns: np.ndarray) -> np.ndarray:
@@ -126,17 +127,18 @@ def compare_adjacent(rows: list[tuple], unit: Unit) -> list[tuple[int, int, list
     return [(r[0], r[1], sorted(js)) for r, js in zip(rows, out, strict=True)]
 
 
-def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD, **kwargs) -> DataFrame:
+def dedup_bytes(docs: DataFrame, window: int = WINDOW, grams: tuple[int, ...] = GRAMS, shard: int = SHARD, **kwargs) -> DataFrame:
     """(doc_id, n_units, n_removed, runs, kept): bytes of windows that also start earlier go.
 
     Units are the bytes of the UTF-8 text; a window lies within one document. Earlier is a
-    smaller doc_id, or the same document before. See remove_repeats for nulls, short texts and
-    repeated rows.
+    smaller doc_id, or the same document before. See remove_repeats for nulls, short and very
+    long texts and repeated rows.
     """
-    return remove_repeats(docs, _unit(window, gram), compare_adjacent, shard=shard, **kwargs)
+    return remove_repeats(docs, _unit(window, grams), compare_adjacent, shard=shard, **kwargs)
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup_bytes() over all documents, the remaining bytes as a digest."""
     out = dedup_bytes(documents(spark, sf_dir))
     return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
