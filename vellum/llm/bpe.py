@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +18,6 @@ SPACE, BLANK, LETTER, NUMBER, OTHER, ONE, TWO, END = range(8)
 #: States: after white space or at the start, after a blank, in a run of letters, numbers or
 #: others, with one or two letters of a contraction to come, after a contraction.
 _START, _BLANK, _LETTER, _NUMBER, _OTHER, _NEED1, _NEED2, _DONE = range(8)
-#: White space of the pattern's \\s.
-_WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _BLOCK, _CHARS, _CACHE = 256, 1 << 20, 100_000
 
 
@@ -47,14 +44,23 @@ def _begins() -> np.ndarray:
 _T, _B = _transitions().ravel(), _begins().ravel()
 
 
+def members(pattern: str) -> np.ndarray:
+    """The code points that are a match of a pattern of one character, as the tokenizer library has it."""
+    import tiktoken
+
+    library = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    found = library.decode_bytes(library.encode_ordinary(every)).decode()
+    return np.frombuffer(found.encode("utf-32-le"), dtype=np.uint32)
+
+
 @functools.cache
 def _class_table() -> np.ndarray:
+    """The class of each code point; the library's tables of Unicode decide, not the interpreter's older ones."""
     t = np.full(0x110000, OTHER, dtype=np.uint8)
-    for c in range(0x110000):
-        kind = unicodedata.category(chr(c))[0]
-        if kind in "LN":
-            t[c] = LETTER if kind == "L" else NUMBER
-    t[_WHITE], t[0x20] = SPACE, BLANK
+    for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", SPACE)):
+        t[members(pattern)] = kind
+    t[0x20] = BLANK
     return t
 
 
@@ -288,7 +294,9 @@ def functions(spark: SparkSession, path: str | None = None):
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, input_ids, decoded binary) for every row of ``docs``, from its whole text.
 
-    Null and empty texts have no ids and decode to no bytes; repeated rows are each encoded.
+    Null and empty texts have no ids and decode to no bytes; repeated rows are each encoded. Very
+    long texts are cut where a token surely begins. Other columns are ignored; an empty table
+    gives an empty result.
     """
     round_trip = functions(docs.sparkSession, path)[3]  # one function: a task needs one worker
     return docs.select("doc_id", round_trip("text").alias("r")).select("doc_id", "r.input_ids", "r.decoded")
@@ -301,6 +309,7 @@ def digests(encoded: DataFrame) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """encode_documents() over all documents, ids and decoded bytes as digests."""
     return digests(encode_documents(documents(spark, sf_dir)))
 
 
