@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import crc_mod, documents, ship
 
-#: The classifier is fitted on at most so many labelled texts of a language, each of at most
-#: SAMPLE_BYTES; they are those with the smallest hash of the id.
+#: Centroids are fitted on at most so many labelled texts of a language, those with the smallest
+#: hash of the id; of a longer text on a stretch of SAMPLE_CHARS. IDF is counted on all.
 SAMPLE = 400
-SAMPLE_BYTES = 65_536
+SAMPLE_CHARS = 65_536
 CENTROIDS = 3
 DIMENSIONS = 1 << 13
 HELD_OUT = 5
@@ -77,34 +77,60 @@ def clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c.astype(np.float32)
 
 
+def document_frequencies(texts: DataFrame, dims: int = DIMENSIONS) -> tuple[int, np.ndarray]:
+    """How many of all texts have a letter, and in how many each dimension occurs; one vector a task."""
+
+    def count(batches):
+        total = np.zeros(dims + 1, dtype=np.int64)
+        for batch in batches:
+            for t in batch.column(0):
+                if (v := ngram_counts(t.as_py(), dims)) is not None:
+                    total[:dims] += v > 0
+                    total[dims] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims + 1)), pa.array(total)], names=["dim", "n"])
+
+    ship(texts.sparkSession)
+    out = np.zeros(dims + 1, dtype=np.int64)
+    for r in texts.select("text").mapInArrow(count, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect():
+        out[r["dim"]] = r["n"]
+    return int(out[dims]), out[:dims]
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, dims: int = DIMENSIONS) -> dict:
-    """Centroids of each language from (doc_id, text, lang) rows; fields that are null are left out.
+    """Centroids of each language from (doc_id, text, lang) rows; rows with a null are left out.
 
-    The rows of a language are thinned by a hash of the id to about ``sample`` before they are
-    ranked, so no task ranks a whole language.
+    The rows of a language are thinned by a hash of the id to about ``sample``; one task a
+    language clusters those. The driver gets a count a language, the document frequencies of
+    all texts and the centroids. A language whose texts have no letter is not learned.
     """
-    rows = labelled.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null").where(F.octet_length("text") <= SAMPLE_BYTES)
+    rows = labelled.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    none = {"langs": [], "of": np.zeros(0, int), "c": np.zeros((0, dims), np.float32), "idf": np.ones(dims, np.float32), "floor": np.zeros(0)}
     if not sizes:
-        return {"langs": [], "of": np.zeros(0, int), "c": np.zeros((0, dims), np.float32), "idf": np.ones(dims, np.float32), "floor": np.zeros(0)}
+        return none
+    every, has = document_frequencies(rows, dims)
+    idf = np.log((1 + every) / (1 + has)).astype(np.float32) + 1
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int((1 << 40) * min(1.0, 1.5 * sample / n)))])
-    picked = rows.withColumn("rank", rank).where(F.col("rank") < F.element_at(share, F.col("lang"))).orderBy("rank", "doc_id").collect()
-    texts: dict[str, list] = {lang: [] for lang in sorted(sizes)}
-    for r in picked:
-        if len(texts[r["lang"]]) < sample and (v := ngram_counts(r["text"], dims)) is not None:
-            texts[r["lang"]].append(v)
-    texts = {lang: np.array(v) for lang, v in texts.items() if v}
-    every = np.concatenate(list(texts.values()))
-    idf = np.log((1 + len(every)) / (1 + (every > 0).sum(axis=0))).astype(np.float32) + 1
-    of, c, floor = [], [], []
-    for i, x in enumerate(texts.values()):
-        v = vectors(x, idf)
+    spare = F.greatest(F.char_length("text") - SAMPLE_CHARS, F.lit(0))
+    picked = rows.withColumn("rank", rank).where(F.col("rank") < F.element_at(share, F.col("lang")))
+    picked = picked.select("lang", "rank", "doc_id", F.substring("text", F.pmod(F.xxhash64("doc_id", "lang"), spare + 1).cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("text"))
+
+    def cluster(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("rank", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+        counts = [v for v in (ngram_counts(t, dims) for t in group.column("text").to_pylist()) if v is not None][:sample]
+        if not counts:
+            return pa.table({"lang": pa.array([], pa.string()), "c": pa.array([], pa.binary()), "floor": pa.array([], pa.float64())})
+        v = vectors(np.array(counts), idf)
         own = clusters(v, centroids)
-        floor.append(REJECT_SHARE * float(np.quantile((v @ own.T).max(axis=1), 0.01)))
-        of += [i] * len(own)
-        c.append(own)
-    return {"langs": list(texts), "of": np.array(of), "c": np.concatenate(c), "idf": idf, "floor": np.array(floor)}
+        floor = REJECT_SHARE * float(np.quantile((v @ own.T).max(axis=1), 0.01))
+        return pa.table({"lang": group.column("lang").slice(0, 1), "c": pa.array([own.tobytes()], pa.binary()), "floor": pa.array([floor])})
+
+    found = sorted(tuple(r) for r in picked.groupBy("lang").applyInArrow(cluster, "lang string, c binary, floor double").collect())
+    if not found:
+        return none
+    c = [np.frombuffer(x, dtype=np.float32).reshape(-1, dims) for _, x, _ in found]
+    return {"langs": [lang for lang, _, _ in found], "of": np.repeat(np.arange(len(c)), [len(x) for x in c]), "c": np.concatenate(c), "idf": idf, "floor": np.array([f for _, _, f in found])}
 
 
 def predictor(spark: SparkSession, model: dict):
@@ -141,6 +167,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     ``und``, score 0 and rejected if the text is null or has no letter, or if no language was
     learned. Otherwise the language of the centroid with the largest cosine, the first on a tie,
     rejected if it is farther from it than texts of that language are. A null id is not held out.
+    Very long texts are counted in pieces, repeated rows each predicted, other columns ignored.
     """
     p = predictor(docs.sparkSession, model)
     out = docs.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), HELD_OUT) == 0, F.lit(False)).alias("held_out"), p("text").alias("p"))
@@ -153,12 +180,16 @@ def train(docs: DataFrame, **kwargs) -> dict:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identify() of every document, trained on those that are not held out."""
     docs = documents(spark, sf_dir)
     return identify(docs, train(docs))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what is rejected (no letters, or far from every language); a null lang is filled in."""
+    """Drop what is rejected (no letters, or far from every language); a null lang is filled in.
+
+    Other columns pass through whatever their names.
+    """
     p = predictor(spark, train(docs))
-    out = docs.select("*", p("text").alias("vellum_p")).where("not vellum_p.rejected")
-    return out.select(*[F.coalesce("lang", "vellum_p.lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+    out = docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns], p("text").alias("p")).where("not p.rejected")
+    return out.select(*[F.coalesce("in_lang", "p.lang_pred").alias(c) if c == "lang" else F.col(f"`in_{c}`").alias(c) for c in docs.columns])

@@ -341,4 +341,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = materialise(keyed(first.select("first.doc_id", "first.th"), "th").select("dk", "th"), "kept", free=True)
     own = docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns], "doc_id", "text")
     kept = keyed(own).drop("doc_id", "text").join(first, ["dk", "th"], "left_semi").dropDuplicates(["dk", "th"])
-    return kept.select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
+    return kept.select(*[F.col(f"`in_{c}`").alias(c) for c in docs.columns])
