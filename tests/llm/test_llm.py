@@ -432,27 +432,57 @@ def test_secrets(spark, sf, docs, odd, empty):
     check_secrets(rows, [x for x in out])
     text = TRICKY[4]
     spans = next(x[4] for x in out if x[0] == 4 and x[4])
-    assert [text[int(a) : int(b)] for k, a, b in (s.split(":") for s in spans)] == ["Zk3vQ9xT7bLw2RpY8sHd4JnC"]
+    assert [text[int(a) : int(b)] for k, a, b in (s.split(":") for s in spans)] == ["Zk3vQ9xT7bLw2RpY8sHd4JnC"]  # the stretch is the run
     assert secrets.scan(empty).count() == 0
     q = queries()["op7_secret_scan"](spark, sf)
     assert "Python" not in q._jdf.queryExecution().executedPlan().toString()
 
 
-def test_models_separate_held_out_samples(spark):
-    samples = secrets.labelled_samples(spark)
-    held = F.pmod(F.xxhash64("sample"), F.lit(5)) == 0
-    table = secrets.log_ratios(samples.where(~held))
-    wrong = samples.where(held).where((secrets.ratio(F.col("sample"), table) > 0) != (F.col("label") == 1)).count()
-    assert wrong < 0.001 * samples.where(held).count()
-
-
-def test_secrets_after_a_path_are_found(spark):
+def brute_ratios(samples, smooth):
+    """log P(b | a, random) - log P(b | a, ordinary) by the docstring of log_ratios()."""
+    n, al = len(secrets.ALPHABET), secrets.ALPHABET
+    pairs = {k: Counter((a, b) for t, label in samples if label == k and t for a, b in zip(t, t[1:], strict=False) if a in al and b in al) for k in (0, 1)}
+    out = []
+    for a, b in itertools.product(al, al):
+        p = []
+        for k in (1, 0):
+            single = {y: 1 + sum(pairs[k][x, y] for x in al) for y in al}
+            context = sum(pairs[k][a, y] for y in al)
+            p.append((pairs[k][a, b] + smooth * single[b] / sum(single.values())) / (context + smooth))
+        out.append(math.log(p[0] / p[1]))
+    return {(a, b): x for (a, b), x in zip(itertools.product(al, al), out, strict=True)} if n else {}
+
+
+def test_ratios_and_stretches_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "ALPHABET", "abcd01-")
+    r = random.Random(1)
+    samples = [("".join(r.choice("abcd01-x") for _ in range(r.randrange(9))), r.randrange(2)) for _ in range(60)] + [(None, 1), ("ab", None)]
+    table = secrets.log_ratios(spark.createDataFrame(samples, "sample string, label int"), 2.0)
+    want = brute_ratios(samples, 2.0)
+    assert all(math.isclose(x, y, abs_tol=1e-12) for x, y in zip(table, want.values(), strict=True))
+    runs = ["".join(r.choice("abcd01-") for _ in range(r.randrange(2, 30))) for _ in range(80)]
+    got = rows_of(spark.createDataFrame([(t,) for t in runs], "s string").withColumn("x", secrets.best_stretch(F.col("s"), table)), "s", "x.score", "x.a", "x.b")
+    for t, score, a, b in got:
+        ratios = [want[p] for p in zip(t, t[1:], strict=False)]
+        best = max([0.0, *(sum(ratios[i:j]) for i in range(len(ratios)) for j in range(i + 1, len(ratios) + 1))])
+        assert math.isclose(score, best, abs_tol=1e-4) and (best == 0 or math.isclose(sum(ratios[a : b - 1]), best, abs_tol=1e-4))
+
+
+ORDINARY = """------------------------ ________________________ aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa =-=-=-=-=-=-=-=-=-=-=- 12345678901234567890
+20240101-20240131-000001 org/apache/hadoop/mapreduce/lib electroencephalographically supercalifragilisticexpialidocious donaudampfschifffahrtsgesellschaft
+anticonstitutionnellement /usr/local/share/applications/ node_modules/webpack/dist/index Bundesverfassungsgericht-Entscheidung image_20240131_093000_final
+ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz 00000000000000000001 MAX_BUFFER_SIZE_EXCEEDED /2024/01/31/breaking-news-from-the-city
+Rindfleischetikettierungsueberwachung 3141592653589793238462643 thequickbrownfoxjumpsoverthelazydog desoxyribonucleinsaeure-untersuchung""".split()
+
+
+def test_recall_and_precision_on_other_strings(spark):
     r = random.Random(7)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    texts = ["path/server/request/" + "".join(r.choice(letters) for _ in range(20)) for _ in range(500)]
-    found = sum(1 for n, in rows_of(secrets.scan(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])), "n_random") if n)
-    print("found", found)
-    assert found > 0.8 * len(texts)
+    kinds = [("", letters, 20), ("", letters, 24), ("", letters + "+/", 40), ("", letters[:26] + letters[52:], 24), ("path/server/request/", letters, 20), ("com/user/account/config/list/item/name/", letters, 24)]
+    texts = [pre + "".join(r.choice(al) for _ in range(n)) for pre, al, n in kinds for _ in range(100)]
+    out = dict(rows_of(secrets.scan(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts + ORDINARY)])), "doc_id", "n_random"))
+    caught, wrong = sum(out[i] for i in range(len(texts))), [t for i, t in enumerate(ORDINARY, len(texts)) if out[i]]
+    assert caught >= 0.98 * len(texts) and not wrong
 
 
 # 8

@@ -24,33 +24,57 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 #: Runs of the alphabet of so many characters are judged by the models.
 LEAST = 20
 _RUN = rf"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{{{LEAST},}}+"
-#: A run is a secret if its log-likelihood ratio is above this in all, and this per character pair.
-TOTAL, MEAN = 12.0, 0.3
-_PARTS = "get set load read write make find list user account order item file path name value count index page table column cache config session request response client server handler manager service factory builder parser result error message event queue worker buffer stream token default current next previous"
+#: The best stretch of a run is a secret if its log-likelihood ratio is above this in all, and
+#: this per character pair, and it has so many characters.
+TOTAL, MEAN, STRETCH = 12.0, 0.5, 16
+#: Counts that the backed-off distribution stands for, so that rare contexts say little.
+SMOOTH = 20.0
+#: Ordinary words of four languages and of programs.
+_WORDS = {
+    "en": "the and house water people through between government information children different important question country company system morning language knowledge thought strength weather building machine history science electric photograph rhythm",
+    "de": "und nicht werden schiff gesellschaft freundschaft geschichte wissenschaft zwischen strasse arbeit zeitung verkehr bundes haupt bahnhof kraft wirtschaft entwicklung sprache herz pfund jahr tausend zug schule donau dampf",
+    "fr": "que pour avec temps monde toujours chose maison jour heure homme femme enfant vie voyage travail beaucoup entreprise quelque nouveau lumiere grand hier eau oeuvre vieux geographie",
+    "es": "que para con tiempo mundo siempre cosa casa dia hora hombre mujer nunca vida viaje trabajo mucho empresa alguno nuevo llave calle guerra ciudad querido juego pueblo",
+    "code": "get set load read write make find list user account order item file path name value count index page table column cache config session request response client server handler manager service factory builder parser result error message event queue worker buffer stream default current next previous org apache com lib src main java mapreduce http www html json xml utf",
+}
 
 
 def labelled_samples(spark: SparkSession) -> DataFrame:
-    """(sample, label): made random strings (1) and ordinary identifiers (0), the same each time.
+    """(sample, label): made random strings (1) and ordinary ones (0), the same each time.
 
-    Random ones are digests in hex, base64 and letters and digits; ordinary ones are three
-    common words joined in the styles of identifiers.
+    Random ones are digests as hex, base64, letters and digits, and capitals and digits. Ordinary
+    ones are words and pairs and triples of words in the styles of prose, identifiers and paths;
+    numbers, dates and numbered names; and rules: one character, two in turn, or all in order,
+    repeated.
     """
     digest = F.sha2(F.concat(F.lit("vellum"), F.col("id").cast("string")), 256)
     b64 = F.base64(F.unhex(digest))
-    random = spark.range(2000).select(F.explode(F.array(F.substring(digest, 1, 40), b64, F.translate(b64, "+/=", "xY7"))).alias("sample"))
-    w = spark.range(1).select(F.explode(F.split(F.lit(_PARTS), " ")).alias("w"))
-    words = F.split(F.lit(_PARTS), " ")
-    three = w.select("w", F.explode(words).alias("v")).select("w", "v", F.explode(F.slice(words, 1, 12)).alias("u")).where("w <> v and v <> u")
-    styles = F.array(F.concat_ws("_", "w", "v", "u"), F.concat_ws("-", "w", "v", "u"), F.concat("w", F.initcap("v"), F.initcap("u")), F.upper(F.concat_ws("_", "w", "v", "u")), F.concat_ws("/", "w", "v", "u"), F.concat("w", "v", "u"))
-    ordinary = three.select(F.explode(styles).alias("sample"))
+    letters = F.translate(b64, "+/=", "xY7")
+    random = spark.range(2000).select(F.explode(F.array(F.substring(digest, 1, 40), b64, letters, F.upper(letters))).alias("sample"))
+    words = F.split(F.lit(" ".join(_WORDS.values())), " ")
+    n = sum(len(x.split()) for x in _WORDS.values())
+    pick = lambda salt: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)) + 1).cast("int"))
+    triple = spark.range(6000).select("id", pick(1).alias("u"), pick(2).alias("v"), pick(3).alias("w"))
+    joins = [F.concat_ws(c, "u", "v", "w") for c in ("_", "-", "/")]
+    styles = F.array(*joins, F.concat("u", F.initcap("v"), F.initcap("w")), F.concat(F.initcap("u"), F.initcap("v")), F.upper(joins[0]), F.concat("u", "v", "w"), F.concat(F.lit("/"), joins[2], F.lit("/")), F.concat_ws("=", "u", "v"))
+    ordinary = triple.select(F.explode(styles).alias("sample"))
+    day = F.expr("date_add(date'1990-01-01', cast(id * 7 as int))")
+    number = F.pmod(F.xxhash64("id"), F.lit(10**15)).cast("string")
+    numbers = F.array(number, F.lpad(F.substring(number, 1, 6), 20, "0"), day.cast("string"), F.date_format(day, "yyyyMMdd"), F.concat(F.date_format(day, "yyyyMMdd"), F.lit("-"), F.lpad(F.substring(number, 1, 3), 6, "0")), F.concat(pick(1), F.lit("_"), F.date_format(day, "yyyyMMdd")), F.concat(pick(2), F.lit("-"), F.substring(number, 1, 2)), F.concat(F.substring(number, 1, 2), F.lit("/"), F.substring(number, 3, 2)), F.lit("01234567890123456789"))
+    ordinary = ordinary.unionByName(spark.range(2000).select(F.explode(numbers).alias("sample")))
+    one = lambda c: F.substring(F.lit(ALPHABET), (c + 1).cast("int"), F.lit(1))
+    rules = spark.range(len(ALPHABET)).select(F.explode(F.array(*[F.repeat(F.concat(one(F.col("id")), *([F.lit(x)] if x else [])), 400 if x else 3000) for x in ("", "-", "_", "=")], F.repeat(F.lit(ALPHABET), 10))).alias("sample"))
+    ordinary = ordinary.unionByName(rules)
     return random.withColumn("label", F.lit(1)).unionByName(ordinary.withColumn("label", F.lit(0)))
 
 
-def log_ratios(samples: DataFrame, smooth: float = 0.5) -> list[float]:
+def log_ratios(samples: DataFrame, smooth: float = SMOOTH) -> list[float]:
     """log P(b after a | random) - log P(b after a | ordinary), at a * size + b.
 
     ``samples`` has (sample, label), label 1: random, 0: ordinary; nulls and characters outside
-    the alphabet are left out. Counted in Spark; at most two counts a pair come to the driver.
+    the alphabet are left out. A context's distribution is smoothed by that of all contexts,
+    and that by one count a character. Counted in Spark; at most two counts a pair come to the
+    driver.
     """
     n = len(ALPHABET)
     codes = F.transform(F.filter(F.split("sample", ""), lambda c: c != ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c))
@@ -59,27 +83,38 @@ def log_ratios(samples: DataFrame, smooth: float = 0.5) -> list[float]:
     counts = {0: [[0.0] * n for _ in range(n)], 1: [[0.0] * n for _ in range(n)]}
     for r in pairs.groupBy("label", "p.a", "p.b").count().where("a > 0 and b > 0").collect():
         counts[r["label"]][r["a"] - 1][r["b"] - 1] = r["count"]
-    out = []
-    for a in range(n):
-        total = [sum(counts[k][a]) + smooth * n for k in (0, 1)]
-        out += [math.log((counts[1][a][b] + smooth) / total[1]) - math.log((counts[0][a][b] + smooth) / total[0]) for b in range(n)]
-    return out
+    single = {k: [1.0 + sum(counts[k][a][b] for a in range(n)) for b in range(n)] for k in (0, 1)}
+    p = lambda k, a, b: (counts[k][a][b] + smooth * single[k][b] / sum(single[k])) / (sum(counts[k][a]) + smooth)
+    return [math.log(p(1, a, b)) - math.log(p(0, a, b)) for a in range(n) for b in range(n)]
 
 
-def ratio(s: Column, table: list[float]) -> Column:
-    """The log-likelihood ratio of a string of the alphabet."""
+def pair_ratios(s: Column, table: list[float]) -> Column:
+    """The log ratio of each pair of neighbours in a string of the alphabet."""
     n = len(ALPHABET)
     lookup = F.expr(f"array({', '.join(f'{x:.6f}D' for x in table)})")  # one literal, folded when planned
     codes = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c))
-    pairs = F.zip_with(F.slice(codes, 1, F.length(s) - 1), F.slice(codes, 2, F.length(s) - 1), lambda a, b: F.get(lookup, (a - 1) * n + b - 1))
-    return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
+    return F.zip_with(F.slice(codes, 1, F.length(s) - 1), F.slice(codes, 2, F.length(s) - 1), lambda a, b: F.get(lookup, (a - 1) * n + b - 1))
+
+
+def best_stretch(s: Column, table: list[float]) -> Column:
+    """struct(score, a, b): the stretch of pairs with the largest sum, the first on a tie, as characters a to b."""
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("from"), F.lit(0).alias("i"), F.lit(0.0).alias("score"), F.lit(0).alias("a"), F.lit(0).alias("b"))
+
+    def step(acc, x):
+        on = acc["sum"] > 0
+        total, begin = F.when(on, acc["sum"] + x).otherwise(x), F.when(on, acc["from"]).otherwise(acc["i"])
+        better = total > acc["score"]
+        return F.struct(total.alias("sum"), begin.alias("from"), (acc["i"] + 1).alias("i"), F.when(better, total).otherwise(acc["score"]).alias("score"), F.when(better, begin).otherwise(acc["a"]).alias("a"), F.when(better, acc["i"] + 2).otherwise(acc["b"]).alias("b"))
+
+    return F.aggregate(pair_ratios(s, table), zero, step, lambda acc: F.struct(acc["score"], acc["a"], acc["b"]))
 
 
 def spans(docs: DataFrame, table: list[float]) -> DataFrame:
     """(dk, th, kind, begin, end): all spans, kind as an index of KINDS, in code points, end exclusive.
 
     A text is cut at the matches of each pattern; the lengths of the pieces and matches before a
-    match, summed over the text's matches, give its place.
+    match, summed over the text's matches, give its place. Of a run of the alphabet the span is
+    its best stretch.
     """
     t = keyed(docs.select("doc_id", "text")).select("dk", "th", F.coalesce("text", F.lit("")).alias("t"))
     found = []
@@ -94,17 +129,22 @@ def spans(docs: DataFrame, table: list[float]) -> DataFrame:
     w = Window.partitionBy("dk", "th", "kind").orderBy("i")
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(w)).withColumn("begin", F.col("end") - F.col("len"))
     least = F.element_at(F.array(*[F.lit(p[2]) for p in PATTERNS], F.lit(LEAST)), F.col("kind") + 1)
-    score = F.when(F.col("kind") == 3, ratio(F.col("s"), table))
-    random = (score > TOTAL) & (score > MEAN * (F.col("len") - 1))
-    return rows.where(F.col("counted") >= least).where((F.col("kind") < 3) | random).select("dk", "th", "kind", "begin", "end")
+    rows = rows.where(F.col("counted") >= least)
+    base = rows.where("kind < 3").select("dk", "th", "kind", "begin", "end")
+    runs = rows.where("kind = 3").withColumn("best", best_stretch(F.col("s"), table)).select("dk", "th", "kind", "begin", "best.*")
+    length = F.col("b") - F.col("a")
+    runs = runs.where((F.col("score") > TOTAL) & (length >= STRETCH) & (F.col("score") > MEAN * (length - 1)))
+    return base.unionByName(runs.select("dk", "th", "kind", (F.col("begin") + F.col("a")).alias("begin"), (F.col("begin") + F.col("b")).alias("end")))
 
 
 def scan(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_spans and spans (arrays) for every row.
 
-    Spans are sorted by begin, then kind. A null or empty text has none. Rows that repeat both
-    id and text get the same result each. ``samples`` (sample, label) trains the models; by
-    default labelled_samples().
+    Spans are sorted by begin, then kind. Of each run of LEAST or more characters of the alphabet
+    the stretch that is most likely random is judged. A null or empty text has no span; a very
+    long one is cut at its matches like any other. Rows that repeat both id and text get the same
+    result each. Other columns are ignored; an empty table gives an empty result. ``samples``
+    (sample, label) trains the models; by default labelled_samples().
     """
     table = log_ratios(labelled_samples(docs.sparkSession) if samples is None else samples)
     found = spans(docs, table).groupBy("dk", "th").agg(F.sort_array(F.collect_list(F.struct("begin", "kind", "end"))).alias("found"))
@@ -117,5 +157,6 @@ def scan(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan() of all documents."""
     out = scan(documents(spark, sf_dir))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "n_random", F.sha2(F.array_join("base_spans", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
