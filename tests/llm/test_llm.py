@@ -353,41 +353,83 @@ def test_decontamination(spark, empty):
         (7, "Compute the sum of all even numbers below one thousand of them instead", "en", "a"),
         (1, BENCH[1][1], "en", "a"),
     ]
-    for block in (1000, 2):
-        out = decontaminate.found_items(frame(spark, rows), bench, "found_", block)
-        assert sorted(rows_of(out, "doc_id", "found_"), key=str) == sorted([(0, []), (1, [1]), (2, [1]), (3, []), (4, []), (5, [1, 2]), (6, []), (7, []), (1, [2])], key=str)
-    assert decontaminate.found_items(empty, bench, "f").count() == 0
-    assert decontaminate.found_items(frame(spark, rows), bench.limit(0), "f").where("size(f) > 0").count() == 0
+    got = rows_of(decontaminate.found_items(frame(spark, rows), bench), "doc_id", "item_ids")
+    assert sorted(got, key=str) == sorted([(0, []), (1, [1]), (2, [1]), (3, []), (4, []), (5, [1, 2]), (6, []), (7, []), (1, [2])], key=str)
+    assert decontaminate.found_items(empty, bench).count() == 0
+    assert decontaminate.found_items(frame(spark, rows), bench.limit(0)).where("size(item_ids) > 0").count() == 0
+
+
+def found_in(items, texts):
+    """The operator's rules without its join: ids of the items that each text holds, windows compared pair by pair."""
+    out = []
+    for text in texts:
+        own = decontaminate.templates(text.encode())
+        held = []
+        for i, item in items:
+            hits = []
+            for w, form, o, n, values, length, coverable, short in decontaminate.item_windows(item.encode()):
+                for doc_form, t in enumerate(own):
+                    hashes = decontaminate.window_hashes(t.h, n).view(np.int64).tolist()
+                    hits += [((doc_form, form), p - o, o, n, values, t.values(p, n), length, coverable, short) for p, x in enumerate(hashes) if x == w]
+            held += [i] * decontaminate.holds(hits)
+        out.append(sorted(held))
+    return out
 
 
 def test_inconsistent_slots_are_no_match():
-    items = decontaminate.Items([(1, "If Tom has twice as many apples as Ann then Tom gives Ann half of what Tom has left now")])
-    assert items.found(b"If Bob has twice as many apples as Eve then Bob gives Eve half of what Bob has left now") == [1]
-    assert items.found(b"If Bob has twice as many apples as Eve then Sue gives Kim half of what Max has left now") == []
+    items = [(1, "If Tom has twice as many apples as Ann then Tom gives Ann half of what Tom has left now")]
+    texts = ["If Bob has twice as many apples as Eve then Bob gives Eve half of what Bob has left now", "If Bob has twice as many apples as Eve then Sue gives Kim half of what Max has left now"]
+    assert found_in(items, texts) == [[1], []]
 
 
 def test_new_values_may_coincide():
     text = "A baker makes {} loaves in the morning and {} loaves after noon and sells all of them but two at the market, so how many loaves did the baker sell?"
-    items = decontaminate.Items([(1, text.format(12, 15))])
-    assert items.found(text.format(20, 20).encode()) == items.found(text.format(20, 25).encode()) == [1]
-    twice = decontaminate.Items([(1, text.format(12, 12))])
-    assert twice.found(text.format(20, 25).encode()) == []
+    texts = [text.format(20, 20), text.format(20, 25)]
+    assert found_in([(1, text.format(12, 15))], texts) == [[1], [1]]
+    assert found_in([(1, text.format(12, 12))], texts) == [[1], []]
 
 
 def test_names_that_begin_sentences():
     text = "{0} has 12 red marbles. {0} buys 5 blue marbles. {0} gives 3 green marbles to a friend. How many marbles does {0} have now?"
-    items = decontaminate.Items([(1, text.format("Tom"))])
-    for name in ("Tom", "Bob", "Mary Ann"):
-        assert items.found(f"and so on. {text.format(name)} Then more".encode()) == [1]
-    assert items.found(b"Problem " + text.format("Bob").encode()) == [1]
-    assert items.found(text.format("Bob").replace("Bob buys", "Eve buys").encode()) == []
+    texts = [f"and so on. {text.format(name)} Then more" for name in ("Tom", "Bob", "Mary Ann")] + ["Problem " + text.format("Bob"), text.format("Bob").replace("Bob buys", "Eve buys")]
+    assert found_in([(1, text.format("Tom"))], texts) == [[1]] * 4 + [[]]
 
 
 def test_names_of_several_words():
     text = "a train travels from {0} to {1} in 4 hours and then it goes back from {1} to {0} with a speed that is 20 percent lower than before, so how long does it take?"
-    items = decontaminate.Items([(1, text.format("Boston", "Denver")), (2, "we know that in the year 1990 the city of Los Angeles had more people than all of New York City ever had")])
-    assert items.found(text.format("New York", "Salt Lake City").encode()) == [1]
-    assert items.found(b"so we know that in the year 1980 the city of Rome had more people than all of Paris ever had") == [2]
+    items = [(1, text.format("Boston", "Denver")), (2, "we know that in the year 1990 the city of Los Angeles had more people than all of New York City ever had")]
+    assert found_in(items, [text.format("New York", "Salt Lake City"), "so we know that in the year 1980 the city of Rome had more people than all of Paris ever had"]) == [[1], [2]]
+
+
+def reworded(r, text):
+    """The text with other numbers and names, each old value standing for one new one."""
+    new = {}
+    swap = lambda m: new.setdefault(m[0], str(r.randrange(2, 99)) if m[0][0].isdigit() else r.choice(["Olga", "Quentin", "Zoe", "Mary Ann", "Ibrahim"]))
+    return re.sub(r"\b(\d+|Tom|Ann|Boston|Denver)\b", swap, text)
+
+
+TEMPLATES = [
+    "Tom has {} red marbles and Ann has {} blue marbles. Tom gives Ann {} of them. How many marbles does Ann have now?",
+    "A train leaves Boston at {} km per hour and needs {} hours to Denver. How far is Denver from Boston by train?",
+    "In a school there are {} classes with {} children each, and {} of the children walk to school. How many do not walk?",
+    "Ann reads {} pages of a book on each day of the week and {} on Sunday; after {} weeks the book is read. How long is it?",
+    "Is {} a prime number, and what is the sum of the digits of its square if {} is taken away from it first?",
+]
+
+
+def test_reparameterised_items_are_found(spark):
+    r = random.Random(11)
+    items = [(i, t.format(*(r.randrange(2, 99) for _ in range(t.count("{}"))))) for i, t in enumerate(TEMPLATES)] + [(90, "Is 91 prime?"), (91, "What now")]
+    planted = [(i, sentence(r, 30) + ". " + reworded(r, items[i][1]) + " " + sentence(r, 30)) for i in range(len(TEMPLATES)) for _ in range(12)]
+    clean = [sentence(r, 80) + f" Tom has {r.randrange(99)} of them. Is {r.randrange(92, 99)} prime? " + sentence(r, 40) for _ in range(40)]
+    more = ["so then: is 91 prime? nobody knows", "Is 93 prime? nobody knows", "what now?"]
+    texts = [t for _, t in planted] + clean + more
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = dict(rows_of(decontaminate.found_items(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), bench), "doc_id", "item_ids"))
+    assert [got[i] for i in range(len(texts))] == found_in(items, texts)
+    caught = sum(i in got[k] for k, (i, _) in enumerate(planted))
+    assert caught >= 0.9 * len(planted) and all(got[k] == [] for k in range(len(planted), len(planted) + 40))
+    assert [got[k] for k in range(len(texts) - 3, len(texts))] == [[90], [], [91]]
 
 
 def test_planted_passages_are_found(spark, sf, docs):

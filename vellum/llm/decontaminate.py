@@ -4,23 +4,25 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import as_bytes, documents, ship
+from vellum.llm.common import as_bytes, documents, keyed, materialise, ship
 
 #: Template tokens of a window, and how many of them must be plain words.
 WINDOW = 8
 PLAIN = 4
-#: Items of fewer tokens are not looked for: they say too little.
+#: Items of fewer tokens say too little as templates: they must occur with their own values.
 SHORTEST = 5
 #: A document holds an item if its windows cover this share of the item's tokens.
 COVER = 0.6
-#: Benchmark rows that are looked for at once; more are taken in further passes, none is left out.
-BLOCK = 20_000
+#: Bits of the filter that windows of documents pass before the join, for each window of the
+#: benchmark, and at most in all (16 MB); a full filter only lets more windows through.
+FILTER_BITS, FILTER_MOST = 64, 1 << 27
 
 UNITS = frozenset(
     """mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg gram grams ton tons lb lbs oz pound pounds ml l liter liters litre litres
@@ -37,7 +39,6 @@ _KINDS = np.uint64(63)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Hashes of the placeholders.
 _SLOTS = {k: np.uint64(v) for k, v in ((_NUM, 0xA24BAED4963EE407), (_UNIT, 0x9FB21C651E98DF25), (_NAME, 0xC3A5C85C97CB3127))}
-_TABLE_BITS = 20
 
 
 class _Codes(dict):
@@ -73,10 +74,18 @@ class Template:
         self.words, self.at = words, np.flatnonzero(~joined)
         self.h, self.slots = h[self.at], slots[self.at]
 
-    def value(self, j: int) -> bytes:
-        """The words of a token."""
+    def value(self, j: int) -> int:
+        """A hash of the words of a token; odd if there are several, 0 for a plain token."""
+        from xxhash import xxh64_intdigest
+
+        if not self.slots[j]:
+            return 0
         end = self.at[j + 1] if j + 1 < len(self.at) else len(self.words)
-        return b" ".join(w.strip(_EDGE.encode()) for w in self.words[self.at[j] : end])
+        h = xxh64_intdigest(b" ".join(w.strip(_EDGE.encode()) for w in self.words[self.at[j] : end]), 3) >> 1
+        return h & ~1 | (end - self.at[j] > 1) | 2
+
+    def values(self, j: int, n: int) -> list[int]:
+        return [self.value(i) for i in range(j, j + n)]
 
 
 def templates(text: bytes | None) -> list[Template]:
@@ -115,113 +124,151 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-class Items:
-    """The windows of some benchmark rows, to be looked up by hash."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.rows = []
-        self.at: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        lengths = set()
-        for item, text in rows:
-            for form, t in enumerate(templates((text or "").encode())):
-                if len(t.words) < SHORTEST:
-                    continue
-                n = min(WINDOW, len(t.h))
-                plain = np.convolve(~t.slots, np.ones(n, dtype=int), "valid")
-                good = plain >= min(PLAIN, n)
-                if not good.any() and not form:
-                    good[:] = True
-                covered = np.zeros(len(t.h), dtype=bool)
-                for o in np.flatnonzero(good):
-                    covered[o : o + n] = True
-                if form and 2 * covered.sum() < len(covered):  # too little besides placeholders; the first form has it
-                    continue
-                for o, (w, use) in enumerate(zip(window_hashes(t.h, n).tolist(), good, strict=True)):
-                    if use:
-                        self.at[w + (n << 64)].append((len(self.rows), o, n))
-                self.rows.append((item, t, covered.sum()))
-                lengths.add(n)
-        self.table = {}
-        for n in sorted(lengths):
-            keys = np.array([k & (1 << 64) - 1 for k in self.at if k >> 64 == n], dtype=np.uint64)
-            seen = np.zeros(1 << _TABLE_BITS, dtype=bool)
-            seen[(keys >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
-            self.table[n] = seen, np.sort(keys)
-
-    def found(self, text: bytes | None) -> list[int]:
-        """Ids of the items that a text holds, sorted."""
-        return sorted({item for t in templates(text) for item in self._found(t)})
-
-    def _found(self, t: Template) -> set[int]:
-        hits: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for n, (seen, keys) in self.table.items():
-            w = window_hashes(t.h, n)
-            at = np.flatnonzero(seen[(w >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
-            if len(at):
-                k = np.minimum(np.searchsorted(keys, w[at]), len(keys) - 1)
-                for p in at[keys[k] == w[at]].tolist():
-                    for i, o, _ in self.at[int(w[p]) + (n << 64)]:
-                        hits[i][p - o].add(o)
-        return {self.rows[i][0] for i, shifts in hits.items() if self._holds(i, shifts, t)}
-
-    def _holds(self, i: int, shifts: dict[int, set[int]], t: Template) -> bool:
-        """Whether the matched windows, at one shift or all together, are the item.
-
-        At one shift each slot value of the item must stand for one value of the document; then
-        the item is there, with other values or the same. New values may coincide. A name at
-        the item's edge can have run on into the text around it, and says nothing then.
-        """
-        _, own, coverable = self.rows[i]
-        n, need, union, edges = min(WINDOW, len(own.h)), COVER * coverable, set(), (0, len(own.h) - 1)
-        for shift, offsets in shifts.items():
-            covered = {o + j for o in offsets for j in range(n)}
-            pairs = {(own.value(j), t.value(shift + j)) for j in covered if own.slots[j] and not (j in edges and b" " in t.value(shift + j))}
-            if len({a for a, _ in pairs}) == len(pairs):
-                if len(covered) >= need:
-                    return True
-                union |= covered
-        return len(union) >= need
-
-
-def finder(spark: SparkSession, rows: list[tuple[int, str]]):
-    """A column function text -> array of ids of the items among ``rows`` that it holds."""
-    ship(spark)
-    sent, built = spark.sparkContext.broadcast(rows), {}
-
-    @F.arrow_udf("array<bigint>")
-    def find(text: pa.Array) -> pa.Array:
-        if not built:
-            built[0] = Items(sent.value)
-        return pa.array([built[0].found(t) for t in as_bytes(text)], pa.list_(pa.int64()))
-
-    return find
-
-
-def found_items(docs: DataFrame, benchmark: DataFrame, name: str, block: int = BLOCK) -> DataFrame:
-    """``docs`` with a column ``name``: the sorted ids of the benchmark items that its text holds.
-
-    The benchmark is the query set: it is hashed on the driver and sent to the workers, at most
-    ``block`` rows at a time; a larger one takes more passes over each text. Rows without an id
-    or text, and items under SHORTEST words, are not looked for. Repeated items count each; a
-    null or empty text holds none; other columns of ``docs`` pass through.
+def item_windows(text: bytes | None) -> list[tuple]:
+    """(w, form, o, n, values, length, coverable, short) of the windows that an item is looked for by."""
+    out = []
+    for form, t in enumerate(templates(text)):
+        length, short = len(t.h), len(t.words) < SHORTEST
+        if not length or (form and short):
+            continue
+        n = min(WINDOW, length)
+        good = np.convolve(~t.slots, np.ones(n, dtype=int), "valid") >= min(PLAIN, n)
+        if not good.any() and not form:
+            good[:] = True
+        covered = np.zeros(length, dtype=bool)
+        for o in np.flatnonzero(good):
+            covered[o : o + n] = True
+        if form and 2 * covered.sum() < length:  # too little besides placeholders; the first form has it
+            continue
+        w = window_hashes(t.h, n).view(np.int64).tolist()
+        out += [(w[o], form, o, n, t.values(o, n), length, int(covered.sum()), short) for o in np.flatnonzero(good).tolist()]
+    return out
+
+
+def holds(hits: Iterable[tuple]) -> bool:
+    """Whether the matched windows of one form, at one shift or all together, are the item.
+
+    ``hits`` are (form, shift, o, n, own values, values, length, coverable, short). At one shift
+    each slot value of the item must stand for one value of the document; then the item is
+    there, with other values or the same. New values may coincide. A name at the item's edge can
+    have run on into the text around it, and says nothing then. A short item must have its own
+    values.
+    """
+    shifts: dict = defaultdict(list)
+    for form, shift, *rest in hits:
+        shifts[form, shift].append(rest)
+    union: dict = defaultdict(set)
+    for (form, _), rows in sorted(shifts.items()):
+        covered, pairs = set(), set()
+        for o, n, own, values, length, coverable, short in rows:
+            covered.update(range(o, o + n))
+            pairs.update((a, b) for j, (a, b) in enumerate(zip(own, values, strict=True), o) if a and not (b & 1 and j in (0, length - 1) and not short))
+        if short and any(a != b for a, b in pairs):
+            continue
+        if len({a for a, _ in pairs}) == len(pairs):
+            union[form] |= covered
+            if len(union[form]) >= (length if short else COVER * coverable):
+                return True
+    return False
+
+
+_WINDOWS = "item_id long, ik long, w long, item_form int, o int, n int, own array<long>, length int, coverable int, short boolean"
+
+
+def benchmark_windows(benchmark: DataFrame) -> DataFrame:
+    """The windows of each distinct benchmark row that has an id and a word; ik names the row."""
+    ship(benchmark.sparkSession)
+    items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").distinct()
+
+    def each(batches):
+        for batch in batches:
+            texts = as_bytes(batch.column(2))
+            rows = [(item, ik, *row) for item, ik, t in zip(*(batch.column(k).to_pylist() for k in (0, 1)), texts, strict=True) for row in item_windows(t)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 10
+            kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.list_(pa.int64())] + [pa.int32()] * 2 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _WINDOWS.split(", ")])
+
+    return items.select("item_id", F.xxhash64("item_id", "text").alias("ik"), "text").mapInArrow(each, _WINDOWS)
+
+
+def window_filter(windows: DataFrame) -> tuple[list[int], np.ndarray]:
+    """The lengths of the windows, and a bitmap of their hashes: all that the driver gets of the benchmark."""
+    sizes = windows.groupBy("n").agg(F.count("*").alias("c")).collect()
+    bits = min(FILTER_MOST, 1 << max(16, (FILTER_BITS * sum(r["c"] for r in sizes)).bit_length()))
+    at = F.shiftrightunsigned("w", 64 - bits.bit_length() + 1)
+    words = windows.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(w, {64 - bits.bit_length() + 1}) & 63 as int))")).alias("bits"))
+    out = np.zeros(bits >> 6, dtype=np.int64)
+    for r in words.collect():
+        out[r["at"]] = r["bits"]
+    return sorted(r["n"] for r in sizes), out.view(np.uint8)
+
+
+def document_windows(docs: DataFrame, lengths: list[int], bitmap: np.ndarray) -> DataFrame:
+    """(dk, th, form, p, w, values) of the windows of (dk, th, text) that pass the filter."""
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shift = np.uint64(64 - (len(bitmap) * 8).bit_length() + 1)
+
+    def rows_of(dk: int, th: int, text: bytes | None, seen: np.ndarray):
+        for form, t in enumerate(templates(text)):
+            for n in lengths:
+                w = window_hashes(t.h, n)
+                i = (w >> shift).astype(np.int64)
+                for p in np.flatnonzero(seen[i >> 3] >> (i & 7).astype(np.uint8) & 1).tolist():
+                    yield dk, th, form, p, int(w[p].view(np.int64)), t.values(p, n)
+
+    def each(batches):
+        for batch in batches:
+            ids, hashes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))
+            rows = [r for d, h, t in zip(ids, hashes, texts, strict=True) for r in rows_of(d, h, t, sent.value)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["dk", "th", "form", "p", "w", "values"])
+
+    return docs.select("dk", "th", "text").mapInArrow(each, "dk long, th long, form int, p int, w long, values array<long>")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(dk, th, item_ids): the sorted ids of the benchmark items that a document holds, where it holds any.
+
+    The windows of the documents' templates are hash-joined to the benchmark's; a bitmap of the
+    latter keeps windows from the join that cannot match. Hits of one document and item are then
+    checked. Items without an id or a word are not looked for; shorter ones than SHORTEST only
+    with their own values.
+    """
+    windows = materialise(benchmark_windows(benchmark), "windows")
+    lengths, bitmap = window_filter(windows)
+    hits = materialise(document_windows(keyed(docs.select("doc_id", "text")), lengths, bitmap).distinct(), "hits")
+    hit = F.struct(F.concat("form", F.lit(":"), "item_form").alias("form"), (F.col("p") - F.col("o")).alias("shift"), "o", "n", "own", "values", "length", "coverable", "short")
+    pairs = hits.join(windows, "w").where(F.size("values") == F.col("n")).groupBy("dk", "th", "ik", "item_id").agg(F.collect_list(hit).alias("hits"))
+
+    def each(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([holds(tuple(h.values()) for h in x) for x in batch.column(3).to_pylist()], pa.bool_())], names=["dk", "th", "item_id", "found"])
+
+    found = pairs.select("dk", "th", "item_id", "hits").mapInArrow(each, "dk long, th long, item_id long, found boolean").where("found")
+    return found.groupBy("dk", "th").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+
+
+def found_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_ids) for every row of ``docs``: the benchmark items that its text holds, see contaminated().
+
+    A null or empty text holds none; repeated rows get the same result each; repeated items count
+    each. Very long texts are one task's. Other columns are ignored; an empty table gives an
+    empty result.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    blocks = -(-items.count() // block) or 1
-    parts = []
-    for b in range(blocks):
-        rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
-        parts.append(finder(spark, rows)("text"))
-    return docs.withColumn(name, F.array_sort(F.array_distinct(F.concat(*parts))) if blocks > 1 else parts[0])
+    found = materialise(contaminated(docs, benchmark), "found")  # a table, so that the join can split a repeated key
+    out = keyed(docs.select("doc_id", "text")).select("doc_id", "dk", "th").join(found, ["dk", "th"], "left")
+    return out.select("doc_id", F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, contaminated, item_ids for every document."""
-    out = found_items(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_ids")
+    out = found_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop every document that holds an item of the benchmark."""
-    out = found_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "vellum_items")
-    return out.where(F.size("vellum_items") == 0).select(*docs.columns)
+    """Drop every document that holds an item of the benchmark; other columns pass through whatever their names."""
+    found = materialise(contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "found")
+    own = keyed(docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns], "doc_id", "text"))
+    return own.join(found, ["dk", "th"], "left_anti").select(*[F.col(f"`in_{c}`").alias(c) for c in docs.columns])
