@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -21,6 +22,10 @@ BEGIN, END = 2, 1
 SEED = 11
 #: Text bytes to a shard of the model; a shard is what one task merges.
 SHARD_BYTES = 16_000_000
+#: Contexts at most whose bigrams are dealt over all shards: the driver and each task hold them.
+HOT_CONTEXTS = 65_536
+#: Files that a worker holds mapped at once.
+_OPEN = 512
 #: Tokens that are counted at once, and bytes of text that are split or scored at once.
 _TOKENS, _GROUP = 2_000_000, 5_000_000
 #: Bigrams in a blob: small objects for the JVM that passes them on.
@@ -88,6 +93,14 @@ def bigram_shard(context: np.ndarray, key: np.ndarray, shards: int, hot: np.ndar
     return np.where(np.isin(context, hot), key, context) % np.uint64(shards)
 
 
+def _cuts(shard: np.ndarray, most: int = _BLOB):
+    """(shard, begin, end) of the stretches of sorted shard numbers, long ones in parts; shards without rows cost nothing."""
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(shard) != 0])) if len(shard) else np.zeros(0, int)
+    for s, a, e in zip(shard[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(shard)], strict=True):
+        for at in range(a, e, most):
+            yield s, at, min(at + most, e)
+
+
 def _bigram_blobs(context: np.ndarray, token: np.ndarray, shards: int, hot: np.ndarray):
     """(shard, blob): distinct bigrams with counts, grouped by context."""
     key, first, count = np.unique(pair_key(context, token), return_index=True, return_counts=True)
@@ -95,12 +108,9 @@ def _bigram_blobs(context: np.ndarray, token: np.ndarray, shards: int, hot: np.n
     shard = bigram_shard(context, key, shards, hot)
     order = np.lexsort((context, shard))
     context, token, count, shard = context[order], token[order], count[order].astype(np.uint32), shard[order]
-    cut = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
-    for s in range(shards):
-        for a in range(cut[s], cut[s + 1], _BLOB):
-            b = min(a + _BLOB, cut[s + 1])
-            u, n = np.unique(context[a:b], return_counts=True)
-            yield s, _pack(u=u, n=n.astype(np.uint32), token=token[a:b], count=count[a:b])
+    for s, a, b in _cuts(shard):
+        u, n = np.unique(context[a:b], return_counts=True)
+        yield s, _pack(u=u, n=n.astype(np.uint32), token=token[a:b], count=count[a:b])
 
 
 def _merge_bigrams(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -202,7 +212,7 @@ class Model:
 
 
 def hot_contexts(docs: DataFrame, shards: int) -> np.ndarray:
-    """Contexts that are more than an eighth of a shard's share of the tokens, at most 8 * shards.
+    """Contexts that are more than an eighth of a shard's share of the tokens, at most HOT_CONTEXTS.
 
     Counted on one text in 32, by a hash; only where bigrams are kept depends on it, not a count.
     """
@@ -218,7 +228,7 @@ def hot_contexts(docs: DataFrame, shards: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
     some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(32)) == 0)
-    rows = some.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(8 * shards + 1).collect()
+    rows = some.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(min(8 * shards, HOT_CONTEXTS) + 1).collect()
     total = next((r["n"] for r in rows if r["word"] == 0), 0)
     return np.array([r["word"] for r in rows if r["word"] != 0 and 8 * shards * r["n"] > total], dtype=np.int64).view(np.uint64)
 
@@ -226,10 +236,11 @@ def hot_contexts(docs: DataFrame, shards: int) -> np.ndarray:
 def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
     """Count the bigrams of all texts and write the model to the shared folder.
 
-    Workers count what they read and send, for each shard of contexts, the distinct bigrams and
-    counts in blobs. The bigrams of hot contexts are dealt over all shards. One task a shard merges them, writes the shard, and sends on the sums of
-    words: how often a word occurs, how many contexts it follows, how many types follow it.
-    Tasks of a second round merge those. Only sums of each shard come to the driver.
+    Workers count what they read and send, for each shard of contexts that they met, the distinct
+    bigrams and counts in blobs. The bigrams of hot contexts are dealt over all shards. One task a
+    shard merges them, writes the shard, and sends on the sums of words: how often a word occurs,
+    how many contexts it follows, how many types follow it. Tasks of a second round merge those.
+    Only sums of each shard come to the driver.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -266,11 +277,11 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
         columns = [np.concatenate([x, np.zeros(len(of_context), np.int64)]) for x in (c, cont)] + [np.concatenate([np.zeros(len(of_token), np.int64), x]) for x in sums]
         word, columns = _sums(word, columns)
         at, blobs, to = word % np.uint64(shards), [], []
-        for t in range(shards):
-            mine = np.flatnonzero(at == t)
-            for a in range(0, len(mine), _BLOB):
-                to.append(t)
-                blobs.append(_pack(word=word[mine[a : a + _BLOB]], **{k: x[mine[a : a + _BLOB]].astype(np.int64) for k, x in zip(_UNI, columns, strict=True)}))
+        order = np.argsort(at, kind="stable")
+        for t, a, b in _cuts(at[order]):
+            mine = order[a:b]
+            to.append(t)
+            blobs.append(_pack(word=word[mine], **{k: x[mine].astype(np.int64) for k, x in zip(_UNI, columns, strict=True)}))
         tell = [[int((n == k).sum()) for k in (1, 2, 3, 4)]] + [None] * (len(to) - 1)
         return pa.table([pa.array(to, pa.int32()), pa.array(blobs, pa.binary()), pa.array(tell, pa.list_(pa.int64()))], names=["shard", "blob", "tell"])
 
@@ -297,21 +308,21 @@ class Scorer:
     """Looks the model's arrays up, each mapped when it is first needed."""
 
     def __init__(self, model: Model):
-        self.m, self.files, self.tokens = model, {}, Tokens()
+        self.m, self.tokens = model, Tokens()
+        self._arrays = functools.lru_cache(maxsize=_OPEN)(self._load)
+
+    def _load(self, kind: str, s: int) -> dict[str, np.ndarray] | None:
+        try:
+            return load(f"{self.m.folder}/{kind}-{s}")
+        except FileNotFoundError:  # no training text has a word of the shard
+            return None
 
     def _find(self, kind: str, shard: np.ndarray, key: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
         """The columns at each of the distinct keys; 0 where the model has none."""
         out = [np.zeros(len(key), dtype=np.int64) for _ in names]
         order = np.lexsort((key, shard))
-        cut = np.searchsorted(shard[order], np.arange(self.m.shards + 1, dtype=shard.dtype))
-        for s in np.flatnonzero(np.diff(cut)).tolist():
-            which = order[cut[s] : cut[s + 1]]
-            if (kind, s) not in self.files:
-                try:
-                    self.files[kind, s] = load(f"{self.m.folder}/{kind}-{s}")
-                except FileNotFoundError:  # no training text has a word of the shard
-                    self.files[kind, s] = None
-            arrays = self.files[kind, s]
+        for s, a, b in _cuts(shard[order], len(shard) or 1):
+            which, arrays = order[a:b], self._arrays(kind, s)
             if arrays is None:
                 continue
             at = np.minimum(np.searchsorted(arrays["key"], key[which]), len(arrays["key"]) - 1)
@@ -347,8 +358,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score, perplexity for every row of ``docs``.
 
     ``score`` is the log10 probability of the words and the end of the whole text; perplexity
-    is 10 ** (-score / n_tokens). A null or empty text is its end alone. Repeated rows are each
-    scored. Words that training texts lack share the unknown word's probability; without any
+    is 10 ** (-score / n_tokens). A null or empty text is its end alone; a very long one is held
+    whole by a task. Repeated rows are each scored, other columns ignored. Words that training texts lack share the unknown word's probability; without any
     training text every word is unknown and both scores are 0 (N = V = 0: one outcome).
     """
     ship(docs.sparkSession)
