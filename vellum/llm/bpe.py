@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import as_bytes, documents, ship
+from vellum.llm.common import documents, release, ship
 
 #: Classes of code points; an apostrophe that a contraction can start with has its own, by the
 #: letters that follow it. END stands between two texts.
@@ -18,7 +18,7 @@ SPACE, BLANK, LETTER, NUMBER, OTHER, ONE, TWO, END = range(8)
 #: States: after white space or at the start, after a blank, in a run of letters, numbers or
 #: others, with one or two letters of a contraction to come, after a contraction.
 _START, _BLANK, _LETTER, _NUMBER, _OTHER, _NEED1, _NEED2, _DONE = range(8)
-_BLOCK, _CHARS, _CACHE = 256, 1 << 20, 100_000
+_BLOCK, _CHARS, _CACHE = 256, 1 << 19, 50_000
 
 
 def _transitions() -> np.ndarray:
@@ -286,6 +286,7 @@ def functions(spark: SparkSession, path: str | None = None):
     def round_trip(text: pa.Array) -> pa.Array:
         c = codec(table.value)
         ids = c.encode([t or "" for t in text.to_pylist()])
+        release()
         return pa.StructArray.from_arrays([_lists(ids, np.int32), pa.array([c.decode(x) for x in ids], pa.binary())], ["input_ids", "decoded"])
 
     return encode, decode, offsets, round_trip

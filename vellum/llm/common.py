@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -91,6 +92,31 @@ def ship(spark: SparkSession) -> None:
     sc._vellum_shipped = True
 
 
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the machine: allocators keep it, and workers live on."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(each: Callable) -> Callable:
+    """A function of batches that gives its memory back when its partition is done."""
+
+    def run(batches):
+        try:
+            yield from each(batches)
+        finally:
+            release()
+
+    return run
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

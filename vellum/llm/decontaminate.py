@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import as_bytes, documents, keyed, materialise, ship
+from vellum.llm.common import as_bytes, documents, keyed, materialise, released, ship
 
 #: Template tokens of a window, and how many of them must be plain words.
 WINDOW = 8
@@ -188,7 +188,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.list_(pa.int64())] + [pa.int32()] * 2 + [pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _WINDOWS.split(", ")])
 
-    return items.select("item_id", F.xxhash64("item_id", "text").alias("ik"), "text").mapInArrow(each, _WINDOWS)
+    return items.select("item_id", F.xxhash64("item_id", "text").alias("ik"), "text").mapInArrow(released(each), _WINDOWS)
 
 
 def window_filter(windows: DataFrame) -> tuple[list[int], np.ndarray]:
@@ -224,7 +224,7 @@ def document_windows(docs: DataFrame, lengths: list[int], bitmap: np.ndarray) ->
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["dk", "th", "form", "p", "w", "values"])
 
-    return docs.select("dk", "th", "text").mapInArrow(each, "dk long, th long, form int, p int, w long, values array<long>")
+    return docs.select("dk", "th", "text").mapInArrow(released(each), "dk long, th long, form int, p int, w long, values array<long>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([holds(tuple(h.values()) for h in x) for x in batch.column(3).to_pylist()], pa.bool_())], names=["dk", "th", "item_id", "found"])
 
-    found = pairs.select("dk", "th", "item_id", "hits").mapInArrow(each, "dk long, th long, item_id long, found boolean").where("found")
+    found = pairs.select("dk", "th", "item_id", "hits").mapInArrow(released(each), "dk long, th long, item_id long, found boolean").where("found")
     return found.groupBy("dk", "th").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
 
 

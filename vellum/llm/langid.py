@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import crc_mod, documents, ship
+from vellum.llm.common import crc_mod, documents, release, released, ship
 
 #: Centroids are fitted on at most so many labelled texts of a language, those with the smallest
 #: hash of the id; of a longer text on a stretch of SAMPLE_CHARS. IDF is counted on all.
@@ -22,7 +22,7 @@ HELD_OUT = 5
 #: A text is rejected if its cosine is below this share of the lowest centile in training.
 REJECT_SHARE = 0.3
 #: Documents whose vectors are held at once, and characters of a text that are.
-_ROWS, _CHUNK = 256, 1 << 20
+_ROWS, _CHUNK = 64, 1 << 20
 
 
 @functools.cache
@@ -91,7 +91,7 @@ def document_frequencies(texts: DataFrame, dims: int = DIMENSIONS) -> tuple[int,
 
     ship(texts.sparkSession)
     out = np.zeros(dims + 1, dtype=np.int64)
-    for r in texts.select("text").mapInArrow(count, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect():
+    for r in texts.select("text").mapInArrow(released(count), "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect():
         out[r["dim"]] = r["n"]
     return int(out[dims]), out[:dims]
 
@@ -156,6 +156,7 @@ def predictor(spark: SparkSession, model: dict):
             for i, b, s in zip(rows, best, near.max(axis=1), strict=True):
                 which = model["of"][b]
                 lang[at + i], score[at + i], bad[at + i] = model["langs"][which], min(1.0, max(0.0, float(s))), s < model["floor"][which]
+        release()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(bad)], ["lang_pred", "score", "rejected"])
 
     return predict

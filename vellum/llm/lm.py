@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Words, as_bytes, crc_mod, documents, scratch_path, ship, total_bytes
+from vellum.llm.common import Words, as_bytes, crc_mod, documents, released, scratch_path, ship, total_bytes
 
 HELD_OUT = 10
 #: Stand for the begin and the end of a text among the hashes of words.
@@ -228,7 +228,7 @@ def hot_contexts(docs: DataFrame, shards: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
     some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(32)) == 0)
-    rows = some.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(min(8 * shards, HOT_CONTEXTS) + 1).collect()
+    rows = some.mapInArrow(released(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(min(8 * shards, HOT_CONTEXTS) + 1).collect()
     total = next((r["n"] for r in rows if r["word"] == 0), 0)
     return np.array([r["word"] for r in rows if r["word"] != 0 and 8 * shards * r["n"] > total], dtype=np.int64).view(np.uint64)
 
@@ -295,7 +295,7 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
         told = [x for t in group.column("tell").to_pylist() if t for x in t]
         return pa.table([pa.array([tell], pa.list_(pa.int64())), pa.array([told], pa.list_(pa.int64()))], names=["words", "bigrams"])
 
-    merged = docs.select("text").mapInArrow(count, "shard int, blob binary").groupBy("shard").applyInArrow(merge_bigrams, "shard int, blob binary, tell array<bigint>")
+    merged = docs.select("text").mapInArrow(released(count), "shard int, blob binary").groupBy("shard").applyInArrow(merge_bigrams, "shard int, blob binary, tell array<bigint>")
     told = merged.groupBy("shard").applyInArrow(merge_words, "words array<bigint>, bigrams array<bigint>").collect()
     w = np.sum([np.array(r["words"]) for r in told], axis=0).tolist() if told else [0] * 8
     b = np.sum([np.array(r["bigrams"]).reshape(-1, 4).sum(axis=0) for r in told], axis=0).tolist() if told else [0] * 4
@@ -372,7 +372,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 n, known, base, total = scorer.score(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n), pa.array(known), pa.array(base), pa.array(total)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(each), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 

@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import as_bytes, discard, documents, keyed, materialise, ship
+from vellum.llm.common import as_bytes, discard, documents, keyed, materialise, released, ship
 
 MIN_WORDS = 50
 #: Percent of words in repeated 3-word windows beyond which a text fails.
@@ -72,7 +72,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             lines = pa.array([[{"h": h, "w": w} for h, w in r[5].items()] for r in rows], line)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *counts, lines], names=["dk", "th", "host", *_COUNTS, "lines"])
 
-    return docs.select("dk", "th", "host", "text").mapInArrow(each, _STATS)
+    return docs.select("dk", "th", "host", "text").mapInArrow(released(each), _STATS)
 
 
 def frequent_lines(rows: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, line_most: int = LINE_MOST) -> DataFrame:
@@ -121,7 +121,7 @@ def quality(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LIN
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:], pa.array(clean, pa.binary()).cast(pa.string())], names=["doc_id", *_COUNTS, "n_frequent_words", "clean_text"])
 
     joined = own.join(flags, key).select(F.col("doc_id").cast("long"), "text", "gone", *_COUNTS, F.coalesce("n_frequent_words", F.lit(0)).alias("n_frequent_words"))
-    out = joined.mapInArrow(each, f"doc_id long, {', '.join(f'{c} long' for c in _COUNTS)}, n_frequent_words long, clean_text string")
+    out = joined.mapInArrow(released(each), f"doc_id long, {', '.join(f'{c} long' for c in _COUNTS)}, n_frequent_words long, clean_text string")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     depleted = F.col("n_words") - F.col("n_frequent_words") < F.col("n_words") * left_share
     return out.select("doc_id", *_COUNTS, "n_frequent_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "clean_text")

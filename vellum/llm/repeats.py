@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import as_bytes, discard, keyed, materialise, ship
+from vellum.llm.common import as_bytes, discard, keyed, materialise, released, ship
 from vellum.llm.winnow import segments
 
 #: Contents of one anchor that a shard takes; those of anchors with more are cut again.
@@ -84,7 +84,7 @@ def segment_rows(texts: DataFrame, unit: Unit, gram: int) -> DataFrame:
                     q.append((((s.lo + at) << 16) | ((s.hi - s.lo) << 8) | (s.p - s.lo)).view(np.uint64))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k)[a:b] for k in range(3)), _lists(h), _lists(sig), _lists(q)], names=["dk", "th", "base", "h", "sig", "q"])
 
-    return texts.select("dk", "th", "base", "text").mapInArrow(each, "dk long, th long, base long, h array<long>, sig array<long>, q array<long>")
+    return texts.select("dk", "th", "base", "text").mapInArrow(released(each), "dk long, th long, base long, h array<long>, sig array<long>, q array<long>")
 
 
 def contents(texts: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
@@ -105,7 +105,7 @@ def contents(texts: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "sig", "dk", "th", "base", "q", "content", "contents"])
 
     lists = wanted.groupBy("dk", "th", "base").agg(F.collect_list(F.struct("h", "sig", "q", "contents")).alias("s"))
-    return texts.select("dk", "th", "base", "text").join(lists, ["dk", "th", "base"]).select("dk", "th", "base", "text", "s").mapInArrow(each, _SEG)
+    return texts.select("dk", "th", "base", "text").join(lists, ["dk", "th", "base"]).select("dk", "th", "base", "text", "s").mapInArrow(released(each), _SEG)
 
 
 def repeated_windows(texts: DataFrame, unit: Unit, resolve: Callable[[list[tuple], Unit], list[tuple[int, int, list[int]]]], most_contents: int = CONTENTS, shard: int = SHARD, level: int = 0) -> DataFrame:
@@ -203,6 +203,6 @@ def remove_repeats(docs: DataFrame, unit: Unit, resolve: Callable, **kwargs) ->
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sizes, pa.int64()), spans, pa.array(kept, pa.binary())], names=["doc_id", "n_units", "runs", "kept"])
 
     rows = keyed(own).join(ranges, ["dk", "th"], "left").select(F.col("doc_id").cast("long"), "text", "ranges")
-    out = rows.mapInArrow(each, "doc_id long, n_units long, runs array<struct<begin:long,end:long>>, kept binary")
+    out = rows.mapInArrow(released(each), "doc_id long, n_units long, runs array<struct<begin:long,end:long>>, kept binary")
     removed = F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + r["end"] - r["begin"])
     return out.select("doc_id", "n_units", removed.alias("n_removed"), "runs", "kept")

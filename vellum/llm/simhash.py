@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import as_bytes, discard, documents, keyed, materialise, ship
+from vellum.llm.common import as_bytes, discard, documents, keyed, materialise, released, ship
 from vellum.llm.components import connected_components
 
 SHINGLE = 3
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             fp = np.array([fingerprint(t, shingle, seed) for t in as_bytes(batch.column(1))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(each), "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -144,7 +144,7 @@ def close_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS,
             found = [link for x in batch.column(0).to_pylist() for link in spanning_links(np.array(x, dtype=np.int64), distance)]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
-    return lists.mapInArrow(each, "a long, b long")
+    return lists.mapInArrow(released(each), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, distance: int = DISTANCE, blocks: int = BLOCKS, bucket: int = BUCKET) -> DataFrame:
@@ -219,7 +219,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sid, fp = (np.array(x, dtype=np.uint64).view(np.int64) for x in ([xxh64_intdigest(h.tobytes()) for h in sets], [sum(1 << int(i) for i in np.flatnonzero(2 * bit_counts(h) > len(h))) for h in sets]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sid), pa.array([len(h) for h in sets], pa.int32()), pa.array(fp), _long_lists([anchors(h) for h in sets]), _long_lists(sets)], names=["doc_id", "th", "sid", "n", "fp", "keys", "hashes"])
 
-    return keyed(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "th", "text").mapInArrow(each, _SKETCH)
+    return keyed(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "th", "text").mapInArrow(released(each), _SKETCH)
 
 
 def similar_links(sid: np.ndarray, fp: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -274,7 +274,7 @@ def _finer(members: DataFrame, sets: DataFrame, level: int) -> DataFrame:
                 part = batch.slice(at, 100)
                 yield pa.RecordBatch.from_arrays([part.column(0), _long_lists([anchors(x.values.to_numpy().view(np.uint64), level) for x in part.column(1)])], names=["sid", "fine"])
 
-    fine = sets.join(members.select("sid").distinct(), "sid", "left_semi").select("sid", "hashes").mapInArrow(each, "sid long, fine array<long>")
+    fine = sets.join(members.select("sid").distinct(), "sid", "left_semi").select("sid", "hashes").mapInArrow(released(each), "sid long, fine array<long>")
     return members.join(fine, "sid").select("k", "sid", "n", F.explode("fine").alias("f")).select(F.xxhash64("k", "f").alias("k"), "sid", "n")
 
 
