@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vellum.llm import bpe, decontaminate, langid, linededup, simhash
-from vellum.llm.common import documents, materialise
+from vellum.llm.common import discard, documents, materialise
 
 STAGES = [
     ("language_id", langid.stage),
@@ -24,7 +24,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The encoded documents that all stages keep, from the whole documents table; stages say what nulls and repeats give.
+
+    A stage's table is deleted once the next one's is written.
+    """
+    docs, done = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs = materialise(stage(spark, docs, sf_dir), name, free=True)
+        if done is not None:
+            discard(done)
+        done = docs
     return docs
