@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from vellum.llm.common import as_bytes, documents, keyed, materialise, released, ship
 
@@ -20,9 +21,9 @@ PLAIN = 4
 SHORTEST = 5
 #: A document holds an item if its windows cover this share of the item's tokens.
 COVER = 0.6
-#: Bits of the filter that windows of documents pass before the join, for each window of the
-#: benchmark, and at most in all (16 MB); a full filter only lets more windows through.
-FILTER_BITS, FILTER_MOST = 64, 1 << 27
+#: Bits of the filter that windows of documents pass before the join (two bits a window), for each
+#: window of the benchmark, and at most in all (16 MB); a full filter only lets more through.
+FILTER_BITS, FILTER_MOST = 256, 1 << 27
 
 UNITS = frozenset(
     """mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg gram grams ton tons lb lbs oz pound pounds ml l liter liters litre litres
@@ -32,6 +33,8 @@ UNITS = frozenset(
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/^-]*%?")
 _MEASURE = re.compile(r"([+-]?[$€£]?\d[\d.,]*)([^\W\d_]+(?:/[^\W\d_]+)?|%)")
 _EDGE = "\"'`()[]{}<>.,;:!?¿¡…«»„“”‘’*_"
+_ASCII_EDGE, _ASCII_UNITS = bytes(b for b in _EDGE.encode() if b < 128), frozenset(u.encode() for u in UNITS)
+_ASCII_STOP = re.compile(rb"[.!?][\"')\]]*$")
 _STOP = re.compile(r"[.!?…][\"'”’)\]]*$")
 _NUM, _UNIT, _NAME, _STOPS, _TAIL, _HEAD = 1, 2, 4, 8, 16, 32
 #: The low bits of a code.
@@ -45,22 +48,26 @@ class _Codes(dict):
     """word -> hash of its plain form, the low bits telling what it can be; remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) >= 100_000:
+        if len(self) >= 200_000:
             self.clear()
-        w = word.decode("utf-8", "replace")
-        plain = w.strip(_EDGE)
-        kind = 0
-        if _NUMBER.fullmatch(plain) or _MEASURE.fullmatch(plain):
-            kind = _NUM
-        elif plain.lower() in UNITS:
-            kind = _UNIT
-        elif plain[:1].isupper():
-            kind = _NAME
-        kind |= _STOPS if _STOP.search(w) else 0
-        kind |= _TAIL * (w[-1:] in _EDGE) | _HEAD * (w[:1] in _EDGE)
-        code = self[word] = xxh64_intdigest(plain.lower().encode(), 7) & ~63 | kind
+        plain = word.strip(_ASCII_EDGE)
+        if plain.isalpha() and word.isascii():  # most words
+            low = plain.lower()
+            kind = _UNIT if low in _ASCII_UNITS else _NAME if plain[:1].isupper() else 0
+            if len(plain) < len(word):
+                kind |= _TAIL * (word[-1] in _ASCII_EDGE) | _HEAD * (word[0] in _ASCII_EDGE) | (_STOPS if _ASCII_STOP.search(word) else 0)
+        else:
+            w = word.decode("utf-8", "replace")
+            text = w.strip(_EDGE)
+            low, kind = text.lower().encode(), 0
+            if _NUMBER.fullmatch(text) or _MEASURE.fullmatch(text):
+                kind = _NUM
+            elif text.lower() in UNITS:
+                kind = _UNIT
+            elif text[:1].isupper():
+                kind = _NAME
+            kind |= _TAIL * (w[-1:] in _EDGE) | _HEAD * (w[:1] in _EDGE) | (_STOPS if _STOP.search(w) else 0)
+        code = self[word] = xxh64_intdigest(low, 7) & ~63 | kind
         return code
 
 
@@ -76,8 +83,6 @@ class Template:
 
     def value(self, j: int) -> int:
         """A hash of the words of a token; odd if there are several, 0 for a plain token."""
-        from xxhash import xxh64_intdigest
-
         if not self.slots[j]:
             return 0
         end = self.at[j + 1] if j + 1 < len(self.at) else len(self.words)
@@ -195,25 +200,33 @@ def window_filter(windows: DataFrame) -> tuple[list[int], np.ndarray]:
     """The lengths of the windows, and a bitmap of their hashes: all that the driver gets of the benchmark."""
     sizes = windows.groupBy("n").agg(F.count("*").alias("c")).collect()
     bits = min(FILTER_MOST, 1 << max(16, (FILTER_BITS * sum(r["c"] for r in sizes)).bit_length()))
-    at = F.shiftrightunsigned("w", 64 - bits.bit_length() + 1)
-    words = windows.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(w, {64 - bits.bit_length() + 1}) & 63 as int))")).alias("bits"))
+    places = [F.shiftrightunsigned("w", 64 - bits.bit_length() + 1), F.col("w").bitwiseAND(F.lit(bits - 1))]
+    words = windows.select(F.explode(F.array(*places)).alias("i")).groupBy(F.shiftright("i", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i & 63 as int))")).alias("bits"))
     out = np.zeros(bits >> 6, dtype=np.int64)
     for r in words.collect():
         out[r["at"]] = r["bits"]
     return sorted(r["n"] for r in sizes), out.view(np.uint8)
 
 
+def passing(w: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Positions of the hashes whose two bits are set."""
+    bits = len(bitmap) * 8
+    at = np.arange(len(w))
+    for i in (lambda x: x >> np.uint64(64 - bits.bit_length() + 1), lambda x: x & np.uint64(bits - 1)):
+        place = i(w[at]).astype(np.int64)
+        at = at[(bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)]
+    return at
+
+
 def document_windows(docs: DataFrame, lengths: list[int], bitmap: np.ndarray) -> DataFrame:
     """(dk, th, form, p, w, values) of the windows of (dk, th, text) that pass the filter."""
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
-    shift = np.uint64(64 - (len(bitmap) * 8).bit_length() + 1)
 
     def rows_of(dk: int, th: int, text: bytes | None, seen: np.ndarray):
         for form, t in enumerate(templates(text)):
             for n in lengths:
                 w = window_hashes(t.h, n)
-                i = (w >> shift).astype(np.int64)
-                for p in np.flatnonzero(seen[i >> 3] >> (i & 7).astype(np.uint8) & 1).tolist():
+                for p in passing(w, seen).tolist():
                     yield dk, th, form, p, int(w[p].view(np.int64)), t.values(p, n)
 
     def each(batches):
