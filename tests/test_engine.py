@@ -12,7 +12,8 @@ from vellum.operators import integrity, merge, mvcc
 from vellum.operators import query as q
 from vellum.operators.query import NotFound, Query
 from vellum.plans import lot
-from vellum.sources.store import Corrupt, Lost, Store, open_snapshot
+from vellum.sources.sqltable import SqlTable, Violation
+from vellum.sources.store import Corrupt, Lost, NeedsRecovery, Store, apply_snapshot, open_snapshot
 from vellum.streaming import feed
 
 
@@ -189,8 +190,14 @@ def test_missing_documents_are_errors(spark, versioned):
 def test_cas_and_del(spark, versioned):
     doc = '{"a":2,"s":"odd"}'
     digest = spark.range(1).select(F.sha2(F.lit(doc), 256)).first()[0]
-    out = run(spark, versioned, ops=[{"cas": {"coll": "t_x", "id": ID, "expect": digest, "ops": [{"op": 3, "f": "a", "v": 5}]}}, {"del": {"coll": "t_x", "id": ID, "expect": digest}}])
-    assert [tuple(r) for r in out.writes.collect()] == [("t_x", ID, '{"a":7,"s":"odd"}', False), ("t_x", ID, None, True)]
+    cas = {"cas": {"coll": "t_x", "id": ID, "expect": digest, "ops": [{"op": 3, "f": "a", "v": 5}]}}
+    out = run(spark, versioned, ops=[cas])
+    assert [tuple(r) for r in out.writes.collect()] == [("t_x", ID, '{"a":7,"s":"odd"}', False)]
+    with pytest.raises(lot.Conflict):  # the second operation sees the first
+        run(spark, versioned, ops=[cas, cas])
+    after = out.docs.first()["hash"]
+    out = run(spark, versioned, ops=[cas, {"del": {"coll": "t_x", "id": ID, "expect": after}}])
+    assert [tuple(r) for r in out.writes.collect()] == [("t_x", ID, None, True)]
     with pytest.raises(lot.Conflict):
         run(spark, versioned, op={"cas": {"coll": "t_x", "id": ID, "expect": "", "doc": {}}})
     with pytest.raises(lot.Conflict):
@@ -348,6 +355,102 @@ def test_store(spark, tmp_path):
         Store(spark, str(tmp_path / "db"), read_only=True).put("x", "y")
 
 
+def test_two_writers_of_one_number(spark, tmp_path):
+    a, b = Store(spark, str(tmp_path / "db")), Store(spark, str(tmp_path / "db"))
+    a.put("k", "0")
+    seen = []
+    b.probes.append(lambda kind, what: seen.append(kind))
+    real, b.commits = b.commits, lambda: [1]  # b has read the commits before a writes again
+    a.put("k", "a")
+    create = b.files.create
+
+    def late(name, text):
+        b.commits = real
+        create(name, text)
+
+    b.files.create = late
+    assert b.put("k", "b") == 3 and seen == ["lost", "commit"]
+    assert a.get("k") == "b" and a.get("k", snap=f"{2:016x}" + "0" * 16) == "a" and a.pending() == []
+
+
+def test_recovery_and_strict_opening(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "db"))
+    s.put("a", "1")
+    s._write(s.versions())  # a writer that died before its marker
+    with pytest.raises(NeedsRecovery):
+        Store(spark, str(tmp_path / "db"), strict=True)
+    assert len(s.recover()) == 1 and Store(spark, str(tmp_path / "db"), strict=True).get("a") == "1"
+
+
+def test_automatic_compaction_and_events(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "db"), compact_after=2)
+    for i in range(4):
+        s.put("a", str(i))
+    assert [s.marker(n)["kind"] for n in s.commits()] == ["put", "put", "compact", "put", "put", "compact"]
+    assert s.versions().count() == 4 and s.get("a", snap=f"{2:016x}" + "0" * 16) == "1"
+    got = [(r["seq"], r["kind"], r["value"]) for r in s.events().orderBy("seq").collect()]
+    assert got == [(1, "mutation", "0"), (2, "mutation", "1"), (3, "compaction", None), (4, "mutation", "2"), (5, "mutation", "3"), (6, "compaction", None)]
+    assert s.publish(str(tmp_path / "feed")) == 6
+    s.put("b", "x")
+    assert s.publish(str(tmp_path / "feed")) == s.publish(str(tmp_path / "feed")) == 7
+    told = spark.read.parquet(str(tmp_path / "feed/upto=*"))
+    assert [r["value"] for r in feed.latest_state(told).orderBy("key").collect()] == ["3", "x"]
+
+
+def test_archived_versions_are_exported_and_applied(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "db"))
+    s.put("a", "1")
+    snap = s.freeze()
+    s.put("a", "2")
+    s.compact("archive")
+    assert s.export(str(tmp_path / "snap"), snap)["rows"] == 1
+    t = Store(spark, str(tmp_path / "other"))
+    apply_snapshot(t, str(tmp_path / "snap"))
+    assert t.get("a") == "1"
+
+
+def test_requests_on_a_store(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "db"))
+    s.create_collection("t")
+    cap = {"prefix": "t", "quota_bytes": 1 << 20, "quota_ops": 4}
+    s.execute({"cap": cap, "ops": [{"ins": {"coll": "t", "doc": {"n": i, "x": "kept"}}} for i in range(3)]})
+    nest = {"nest": {"depth": 1, "src": {"scan": {"coll": "t", "limit": 10, "proj": ["n"]}}, "then": {"cas": {"coll": "t", "ops": [{"op": 3, "f": "n", "v": 10}]}}}}
+    s.execute({"cap": cap, "op": nest})
+    assert sorted(r["value"] for r in s.view(coll="t").collect()) == [f'{{"n":{i},"x":"kept"}}' for i in (10, 11, 12)]
+    assert s.execute({"cap": cap, "op": {"count": {"coll": "t", "limit": 9}}}).n() == 3 and len(s.commits()) == 3
+    with pytest.raises(lot.Refused):
+        s.execute({"cap": cap, "op": {"get": {"coll": "tx", "id": ID}}})
+    ids_ = [s.insert("t", "{}", 5) for _ in range(3)]
+    assert ids_ == sorted(ids_) and len(set(ids_)) == 3
+
+
+def test_a_planner_forgets_the_request_before(spark, versioned):
+    p = lot.Planner(spark, versioned, lambda c: "f" * 32)
+    req = {"cap": CAP, "op": {"ins": {"coll": "t_x", "doc": {"k": 1}}}}
+    assert p.run(req).writes.count() == p.run(req).writes.count() == 1
+    assert p.run({"cap": CAP, "op": {"count": {"coll": "t_x", "limit": 5}}}).writes.count() == 0
+
+
+def test_decoding_many_parts(spark):
+    df = spark.createDataFrame([("a;1:", None, 7, "", "é", 2.5, "x" * 30), (None,) * 7], "a string, b string, c int, d string, e string, f double, g string")
+    parts = integrity.decode_key(F.col("k"), 7)
+    got = df.select(integrity.encode_key(df, df.columns).alias("k")).select(*[p.alias(f"p{i}") for i, p in enumerate(parts)]).collect()
+    assert [tuple(r) for r in got] == [("a;1:", None, "7", "", "é", "2.5", "x" * 30), (None,) * 7]
+
+
+def test_tables_with_keys(spark, tmp_path):
+    t = SqlTable(Store(spark, str(tmp_path / "db")), "users", "id bigint, name string", key=["id"], not_null=["name"])
+    t.create()
+    rows = lambda *r: spark.createDataFrame(list(r), "id bigint, name string")
+    assert t.insert(rows((1, "a"), (2, "b"))) == 2
+    for bad in (rows((1, "again")), rows((3, None)), rows((4, "x"), (4, "y"))):
+        with pytest.raises(Violation):
+            t.insert(bad)
+    assert t.replace(rows((2, "c"), (5, "e"))) == 2 and t.update(F.col("id") == 1, name=F.upper("name")) == 1 and t.delete(F.col("id") == 5) == 1
+    assert sorted(map(tuple, t.rows().collect())) == [(1, "A"), (2, "c")] and t.integrity_check() == "ok"
+    assert [tuple(r) for r in t.table_info().collect()] == [(0, "id", "bigint", True, True), (1, "name", "string", True, False)]
+
+
 def test_uncommitted_folders_are_ignored(spark, tmp_path):
     s = Store(spark, str(tmp_path / "db"))
     s.put("a", "1")

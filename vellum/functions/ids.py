@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,12 +35,40 @@ def compose(ts_ns: Column, bits: Column) -> Column:
     return F.concat(_hex(ms, 12), F.lit("7"), _hex(sub, 3), _hex(F.lit(-(2**63)).bitwiseOR(column(bits)), 16))
 
 
+def compose_text(ts_ns: int, kind: int, coll: str, counter: int) -> str:
+    """compose() and payload() for one id, on the driver; the shard is that of the collection's name."""
+    first = hashlib.sha256(coll.encode()).digest()
+    ms, rest = divmod(ts_ns, 1_000_000)
+    bits = kind << 58 | first[0] << 50 | (first[0] << 8 | first[1]) >> 6 << 40 | counter
+    return f"{ms:012x}7{rest * 4096 // 1_000_000:03x}{1 << 63 | bits:016x}"
+
+
 def parse(text: Column) -> Column:
     """Hex of a UUID with or without dashes, or null."""
     t = column(text)
     return F.when(t.rlike(_TEXT), F.lower(F.regexp_replace(F.regexp_replace(t, "^urn:uuid:", ""), "-", "")))
 
 
+def parse_v7(text: Column) -> Column:
+    """As parse(), but null for anything that is no version-7 id of the standard variant."""
+    id = parse(text)
+    return F.when(is_v7(id), id)
+
+
+def is_nil(id: Column) -> Column:
+    return column(id) == NIL
+
+
+def is_max(id: Column) -> Column:
+    return column(id) == MAX
+
+
+def compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1: ids order as their text."""
+    a, b = column(a), column(b)
+    return F.when(a < b, -1).when(a > b, 1).when(a == b, 0)
+
+
 def dashed(id: Column) -> Column:
     c = column(id)
     return F.concat_ws("-", *[F.substring(c, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])

@@ -29,7 +29,7 @@ def field(doc: Column | str, name: str) -> Column:
 def string_field(doc: Column | str, name: str) -> Column:
     """A top-level field if its value is a JSON string, else null."""
     value = F.try_variant_get(F.try_parse_json(column(doc)), f'$["{name}"]', "variant")
-    return F.when(F.schema_of_variant(value) == "STRING", F.get_json_object(column(doc), _path(name)))
+    return let(value, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
 
 
 def field_eq(doc: Column | str, name: str, value: Any) -> Column:
@@ -39,16 +39,15 @@ def field_eq(doc: Column | str, name: str, value: Any) -> Column:
 
 def field_ge(doc: Column | str, name: str, value: Any) -> Column:
     """Numbers if both sides are 64-bit integers, else text by bytes."""
-    text, bound = field(doc, name), scalar_text(value)
-    as_text = text >= F.lit(bound)
+    bound = scalar_text(value)
     try:
         number = int(bound) if bound.strip() == bound else None
     except ValueError:
         number = None
     if number is None or not -(2**63) <= number < 2**63:
-        return as_text
-    own = F.when(text.rlike(_INT), text.try_cast("bigint"))
-    return F.when(own.isNotNull(), own >= F.lit(number)).otherwise(as_text)
+        return field(doc, name) >= F.lit(bound)
+    number_of = lambda t: F.when(t.rlike(_INT), t.try_cast("bigint") >= F.lit(number))
+    return let(field(doc, name), lambda t: F.coalesce(number_of(t), t >= F.lit(bound)))
 
 
 def scalar_text(value: Any) -> str:
@@ -60,9 +59,9 @@ def scalar_text(value: Any) -> str:
 
 def u64(text: Column) -> Column:
     """Text as an unsigned 64-bit number: 0 if it is none, the largest if it is beyond."""
-    n = F.when(text.rlike("^[0-9]+$"), text.try_cast("decimal(38,0)"))
     largest = F.lit(str(U64 - 1)).cast("decimal(20,0)")
-    return F.when(text.rlike("^[0-9]+$"), F.coalesce(F.least(n, largest), largest)).otherwise(F.lit(0)).cast("decimal(20,0)")
+    number = lambda t: F.when(t.rlike("^[0-9]+$"), F.coalesce(F.least(t.try_cast("decimal(38,0)"), largest), largest)).otherwise(F.lit(0))
+    return let(text, number).cast("decimal(20,0)")
 
 
 def wrap_u64(n: Column) -> Column:

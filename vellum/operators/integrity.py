@@ -39,15 +39,23 @@ def encode_key(df: DataFrame, columns: Sequence[str]) -> Column:
 
 def decode_key(encoded: Column, parts: int) -> list[Column]:
     """The parts of an encoded key as text; null parts as null."""
-    out, rest = [], encoded
-    for _ in range(parts):
-        null = F.startswith(rest, F.lit("0:;"))
-        n = F.regexp_extract(rest, r"^[0-9]:([0-9]+):", 1)
-        size = F.when(null, 0).otherwise(n.try_cast("int"))
-        head = F.length(n) + 3
-        out.append(F.when(~null, F.substring(rest, head + 1, size)))
-        rest = F.when(null, F.substring(rest, F.lit(4), F.length(rest))).otherwise(F.substring(rest, head + size + 2, F.length(rest)))
-    return out
+    step = F.struct(encoded.cast("binary").alias("rest"),  # lengths are in bytes
+         F.array().cast("array<string>").alias("out"))
+
+    def cut(acc, _):
+        rest = acc["rest"]
+        begin = F.substring(rest, 1, 24).cast("string")
+        null, n = F.startswith(begin, F.lit("0:;")), F.regexp_extract(begin, "^[0-9]:([0-9]+):", 1)
+        part = F.struct(rest.alias("rest"), F.when(null, F.lit(0)).otherwise(F.length(n) + 3).alias("head"), F.when(~null, n.try_cast("int")).alias("size"))
+        done = lambda p: F.struct(
+            F.when(p["size"].isNull(), F.substring(p["rest"], F.lit(4), F.length(p["rest"]))).otherwise(F.substring(p["rest"], p["head"] + p["size"] + 2, F.length(p["rest"]))).alias("rest"),
+            F.concat(acc["out"], F.array(F.when(p["size"].isNotNull(), F.substring(p["rest"], p["head"] + 1, p["size"]).cast("string")))).alias("out"),
+        )
+        return F.get(F.transform(F.array(part), done), 0)
+
+    # one expression for all parts: it does not grow with their number
+    every = F.aggregate(F.sequence(F.lit(1), F.lit(parts)), step, cut, lambda acc: acc["out"])
+    return [F.get(every, i) for i in range(parts)]
 
 
 def count_rows(**tables: DataFrame) -> DataFrame:

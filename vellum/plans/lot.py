@@ -22,6 +22,8 @@ from vellum.operators import mvcc
 
 VERBS = ("get", "gets", "scan", "count", "ins", "cas", "del", "join", "group", "nest")
 MAX_FIELDS, MAX_DOC, MAX_DEPTH = 64, 4096, 4
+#: From this limit on groups are counted before they are sorted for it.
+MANY_GROUPS = 100_000
 _HEX = re.compile("[0-9a-f]{32}")
 _ROW = "pos bigint, doc string, id string, hash string"
 
@@ -186,6 +188,7 @@ class Result:
     writes: DataFrame
     counts: list[DataFrame] = field(default_factory=list)
     pages: list[DataFrame] = field(default_factory=list)
+    writes_any: bool = False
 
     def n(self) -> int:
         """The sum of what the operations count, or else the number of documents."""
@@ -256,7 +259,11 @@ def group(docs: DataFrame, spec: Mapping) -> DataFrame:
     k = json_ops.field("doc", by) if by else F.lit("")
     s = json_ops.u64(json_ops.field("doc", spec["sum"])) if spec.get("sum") else F.lit(0).cast("decimal(20,0)")
     g = docs.groupBy(k.alias("k")).agg(F.count("*").alias("n"), json_ops.wrap_u64(F.sum(s)).alias("s"), F.min("id").alias("seen"))
-    return g.orderBy("seen").limit(spec["limit"]).select("k", "n", "s", "seen")
+    if spec["limit"] < MANY_GROUPS:  # a larger one is no top-k: one task would take all groups
+        g = g.orderBy("seen").limit(spec["limit"])
+    else:
+        g = g.orderBy("seen").offset(0).limit(spec["limit"]) if g.limit(spec["limit"] + 1).count() > spec["limit"] else g
+    return g.select("k", "n", "s", "seen")
 
 
 def compare_and_set(docs: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -283,15 +290,30 @@ class Planner:
 
     def __init__(self, spark: SparkSession, collections: Mapping[str, DataFrame], new_id: Callable[[str], str]):
         self.spark, self.collections, self.new_id = spark, collections, new_id
-        self.staged: list[tuple] = []
-        self.bulk: list[DataFrame] = []
+        self._begin(None)
+
+    def _begin(self, as_of: str | None) -> None:
+        """Forget the request before."""
+        self.as_of = as_of
+        self.staged: dict[tuple[str, str], tuple[str | None, bool]] = {}  # (coll, id) -> doc, deleted
+        self.bulk: dict[str, list[DataFrame]] = {}  # coll -> (id, doc) of nested operations
         self.counts: list[DataFrame] = []
         self.pages: list[DataFrame] = []
 
     def docs(self, name: str) -> DataFrame:
+        """(id, doc) of a collection, with what the request has written so far."""
         if name not in self.collections:
             raise Refused("collection", name)
-        df = self.collections[name]
+        df = self._stored(self.collections[name], name)
+        for new in self.bulk.get(name, []):
+            df = df.join(new.select("id"), "id", "left_anti").unionByName(new)
+        own = [(i, d, gone) for (c, i), (d, gone) in self.staged.items() if c == name]
+        if own:  # a few rows of the request
+            new = self.spark.createDataFrame(own, "id string, doc string, gone boolean")
+            df = df.join(F.broadcast(new.select("id")), "id", "left_anti").unionByName(new.where("not gone").select("id", "doc"))
+        return df
+
+    def _stored(self, df: DataFrame, name: str) -> DataFrame:
         if "ver" in df.columns:
             v = df.select(F.col("id").alias("key"), "ver", "deleted", F.col("doc").alias("value"))
             live = mvcc.as_of(v, self.as_of) if self.as_of else mvcc.latest(v)
@@ -302,15 +324,16 @@ class Planner:
 
     def run(self, raw: str | bytes | dict) -> Result:
         lot = validate(raw)
-        self.as_of = lot.as_of
+        self._begin(lot.as_of)
         parts = [self._op(op, None).withColumn("op", F.lit(i)) for i, op in enumerate(lot.ops)]
         docs = parts[0]
         for p in parts[1:]:
             docs = docs.unionByName(p)
-        writes = self.spark.createDataFrame(self.staged, "coll string, id string, doc string, deleted boolean")
-        for b in self.bulk:
-            writes = writes.unionByName(b)
-        return Result(docs.select("op", "pos", "doc", "id", F.coalesce("hash", F.when(F.col("id") != "", ids.doc_hash("doc"))).alias("hash")), writes, self.counts, self.pages)
+        writes = self.spark.createDataFrame([(c, i, d, gone) for (c, i), (d, gone) in self.staged.items()], "coll string, id string, doc string, deleted boolean")
+        for coll, parts in self.bulk.items():
+            for b in parts:
+                writes = writes.unionByName(b.select(F.lit(coll).alias("coll"), "id", "doc", F.lit(False).alias("deleted")))
+        return Result(docs.select("op", "pos", "doc", "id", F.coalesce("hash", F.when(F.col("id") != "", ids.doc_hash("doc"))).alias("hash")), writes, self.counts, self.pages, bool(self.staged or self.bulk))
 
     def _frame(self, df: DataFrame, pos: str) -> DataFrame:
         return df.select(F.col(pos).cast("bigint").alias("pos"), "doc", "id", F.lit(None).cast("string").alias("hash"))
@@ -352,18 +375,12 @@ class Planner:
 
     def _ins(self, b: dict, parent) -> DataFrame:
         doc, id = json.dumps(b["doc"], separators=(",", ":"), ensure_ascii=False), self.new_id(b["coll"])
-        self.staged.append((b["coll"], id, doc, False))
+        self.staged[b["coll"], id] = doc, False
         return self.spark.createDataFrame([(0, None, id, doc)], _ROW).withColumn("hash", F.sha2("hash", 256))
 
     def _cas(self, b: dict, parent) -> DataFrame:
         if parent is not None:
-            if b.get("ops"):
-                new = json_ops.mutate("doc", b["ops"])
-            else:
-                new = F.lit(json.dumps(b.get("doc"), separators=(",", ":"), ensure_ascii=False))
-            done = parent.select("pos", new.alias("doc"), "id")
-            self.bulk.append(done.select(F.lit(b["coll"]).alias("coll"), "id", "doc", F.lit(False).alias("deleted")))
-            return self._frame(done, "pos")
+            return self._cas_each(b, parent)
         old = self._current(b["coll"], b["id"])
         req = self.spark.createDataFrame([(b["id"], b.get("expect") or "", old)], "id string, expect string, old string")
         ok = F.coalesce(ids.doc_hash("old"), F.lit("")) == F.col("expect")
@@ -371,14 +388,40 @@ class Planner:
         row = req.select(ok.alias("ok"), new.alias("doc")).first()
         if not row["ok"]:
             raise Conflict(b["id"])
-        self.staged.append((b["coll"], b["id"], row["doc"], False))
+        self.staged[b["coll"], b["id"]] = row["doc"], False
+        self._settle(b["coll"], b["id"])
         return self.spark.createDataFrame([(0, row["doc"], b["id"], None)], _ROW)
 
+    def _settle(self, coll: str, id: str) -> None:
+        """A later single write replaces what a nested one wrote to the same document."""
+        self.bulk[coll] = [d.where(F.col("id") != id) for d in self.bulk.get(coll, [])] if self.bulk.get(coll) else []
+        if not self.bulk[coll]:
+            del self.bulk[coll]
+
+    def _cas_each(self, b: dict, parent: DataFrame) -> DataFrame:
+        """Write to the current document of each id of the source, whatever the source projects.
+
+        Each document must still be the one that the source read: one that this request has
+        changed since, or that the collection lacks, is a Conflict.
+        """
+        current = self.docs(b["coll"]).select("id", F.col("doc").alias("old"))
+        whole = parent.columns and "whole" in parent.columns
+        read = parent.select("pos", "id", (F.col("whole") if whole else F.col("doc")).alias("read"))
+        j = read.join(current, "id", "left")
+        if row := j.where(F.col("old").isNull() | (ids.doc_hash("old") != ids.doc_hash("read"))).select("id").take(1):
+            raise Conflict(row[0][0])
+        new = json_ops.mutate("old", b["ops"]) if b.get("ops") else F.lit(json.dumps(b.get("doc"), separators=(",", ":"), ensure_ascii=False))
+        done = j.select("pos", new.alias("doc"), "id")
+        ids_here = [d for d in self.bulk.get(b["coll"], [])]
+        self.bulk[b["coll"]] = [d.join(done.select("id"), "id", "left_anti") for d in ids_here] + [done.select("id", "doc")]
+        return self._frame(done, "pos")
+
     def _del(self, b: dict, parent) -> DataFrame:
         old = self._current(b["coll"], b["id"])
         if (self.spark.createDataFrame([(old,)], "d string").select(F.coalesce(ids.doc_hash("d"), F.lit(""))).first()[0]) != (b.get("expect") or ""):
             raise Conflict(b["id"])
-        self.staged.append((b["coll"], b["id"], None, True))
+        self.staged[b["coll"], b["id"]] = None, True
+        self._settle(b["coll"], b["id"])
         return self.spark.createDataFrame([], _ROW)
 
     def _join(self, b: dict, parent) -> DataFrame:
@@ -393,5 +436,10 @@ class Planner:
         return g.select(F.col("pos").cast("bigint").alias("pos"), doc.alias("doc"), F.lit("").alias("id")).withColumn("hash", F.lit(None).cast("string"))
 
     def _nest(self, b: dict, parent) -> DataFrame:
-        src = self._op(b["src"], parent)
-        return self._op(b["then"], src.select("pos", "doc", "id"))
+        (verb, spec), = b["src"].items()
+        if verb == "scan" and "cas" in b["then"]:  # a cas writes to whole documents and compares them
+            page = self._positioned(scan(self.docs(spec["coll"]), spec, whole=True), "id")
+            src = page.select(F.col("pos").cast("bigint").alias("pos"), "doc", "id", F.col("doc").alias("whole"))
+        else:
+            src = self._op(b["src"], parent).select("pos", "doc", "id")
+        return self._op(b["then"], src)

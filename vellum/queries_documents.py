@@ -240,15 +240,3 @@ def lot_shards(spark, sf_dir):
 @query(_O + "SELECT id, sha256(doc) AS hash FROM od")
 def doc_hash(spark, sf_dir):
     return tables.order_docs(spark, sf_dir).select("id", ids.doc_hash("doc").alias("hash"))
-
-
-@query("SELECT name, n FROM (SELECT 'customers' AS name, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders)")
-def list_collections(spark, sf_dir):
-    c = tables.customer_docs(spark, sf_dir).withColumn("coll", F.lit("customers")).unionByName(tables.order_docs(spark, sf_dir).withColumn("coll", F.lit("orders")))
-    return c.groupBy(F.col("coll").alias("name")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT 'customers' AS name, count(*) AS n FROM customer")
-def drop_collection(spark, sf_dir):
-    c = tables.customer_docs(spark, sf_dir).withColumn("coll", F.lit("customers")).unionByName(tables.order_docs(spark, sf_dir).withColumn("coll", F.lit("orders")))
-    return c.where("coll <> 'orders'").groupBy(F.col("coll").alias("name")).agg(F.count("*").alias("n"))

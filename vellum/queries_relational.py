@@ -44,4 +44,9 @@ _add("sql_recursive_cte", "nation", "WITH RECURSIVE r(k, depth) AS (SELECT n_nat
 _add("sql_distinct_agg", "lineitem", "SELECT l_suppkey, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_orderkey) AS orders FROM {lineitem} GROUP BY l_suppkey")
 _add("sql_having_in", "part lineitem", "SELECT p_brand, count(*) AS n FROM {part} WHERE p_partkey IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity >= 45) GROUP BY p_brand HAVING count(*) > 2")
 _add("sql_pricing_summary", "lineitem", f"SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty, CAST(sum({_CENTS.format('l_extendedprice')}) AS BIGINT) AS cents, CAST(sum({_CENTS.format('l_extendedprice')} * (100 - {_CENTS.format('l_discount')})) AS BIGINT) AS discounted, count(*) AS n FROM {{lineitem}} WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus")
-_add("sql_table_info", "customer", "SELECT 'customer' AS name, count(*) AS n, count(c_custkey) AS keys, count(DISTINCT c_custkey) = count(*) AS unique_keys FROM {customer}")
+_add("sql_table_info", "customer", "SELECT 0", "SELECT column_name AS name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' ELSE 'string' END AS type FROM (DESCRIBE customer)")
+QUERIES["sql_table_info"] = Entry(lambda spark, sf_dir: spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in tables.table(spark, sf_dir, "customer").schema], "name string, type string"), QUERIES["sql_table_info"].sql)
+_add("sql_cube", "orders", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+_add("sql_pivot", "orders", "SELECT * FROM (SELECT o_orderpriority, o_orderstatus, o_orderkey FROM {orders}) PIVOT (count(o_orderkey) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))", "SELECT o_orderpriority, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS f, nullif(count(*) FILTER (o_orderstatus = 'O'), 0) AS o, nullif(count(*) FILTER (o_orderstatus = 'P'), 0) AS p FROM orders GROUP BY o_orderpriority")
+_add("sql_percentiles", "lineitem", "SELECT l_returnflag, CAST(percentile(l_quantity, 0.5) AS DOUBLE) AS p50, CAST(percentile(l_quantity, 0.9) AS DOUBLE) AS p90 FROM {lineitem} GROUP BY l_returnflag", "SELECT l_returnflag, CAST(quantile_cont(l_quantity, 0.5) AS DOUBLE) AS p50, CAST(quantile_cont(l_quantity, 0.9) AS DOUBLE) AS p90 FROM lineitem GROUP BY l_returnflag")
+_add("sql_stddev", "lineitem", "SELECT l_returnflag, CAST(round(stddev_samp(l_quantity) * 1000) AS BIGINT) AS dev, CAST(round(var_pop(l_quantity) * 1000) AS BIGINT) AS var FROM {lineitem} GROUP BY l_returnflag")

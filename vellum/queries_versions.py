@@ -160,13 +160,6 @@ def wal_truncate(spark, sf_dir):
     return both.groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_mktsegment AS batch, count(DISTINCT ('0x' || sha256(c_name)[1:4])::INTEGER >> 6) = 1 AS atomic FROM customer GROUP BY 1")
-def put_batch_atomic_check(spark, sf_dir):
-    """Whether a batch stays within one shard."""
-    c = tables.table(spark, sf_dir, "customer")
-    return c.groupBy(F.col("c_mktsegment").alias("batch")).agg((F.countDistinct(ids.route("c_name")) == 1).alias("atomic"))
-
-
 # three sides of the orders: each drops and edits by its own rules
 
 _SIDES = """WITH x AS (SELECT o_orderkey AS key, o_orderkey AS ver, CAST(round(o_totalprice * 100) AS BIGINT) AS val_crc, o_orderstatus AS st, o_orderpriority AS pr, year(o_orderdate) AS yr, o_custkey AS cu FROM orders),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum import queries_documents, queries_entries, queries_relational, queries_versions
+from vellum import queries_documents, queries_entries, queries_relational, queries_store, queries_versions
 
-_MODULES = (queries_entries, queries_documents, queries_versions, queries_relational)
+_MODULES = (queries_entries, queries_documents, queries_versions, queries_relational, queries_store)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

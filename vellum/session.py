@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: UTC everywhere; adaptive plans split skewed joins and merge small partitions.
@@ -17,3 +20,17 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     """A session with SETTINGS; keyword names use ``__`` for dots."""
     b = SparkSession.builder.config(map=SETTINGS | {k.replace("__", "."): v for k, v in settings.items()})
     return (b.master(master) if master else b).getOrCreate()
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir.
+
+    Where a local session names none a temporary folder is made; on a cluster that is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        root = tempfile.mkdtemp(prefix="vellum-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
