@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -164,6 +165,44 @@ def test_language_id(spark, sf, docs, odd, empty):
     assert set(none) == {("und", 0.0, True)} and len(none) == len(odd[0])
 
 
+def brute_language(rows, model, text):
+    """Language and cosine of a text by TF-IDF over all training texts, from the centroids of the model."""
+    counts = [langid.ngram_counts(t) for t in rows]
+    counts = [c for c in counts if c is not None]
+    idf = [math.log((1 + len(counts)) / (1 + sum(c[d] > 0 for c in counts))) + 1 for d in range(langid.DIMENSIONS)]
+    v = langid.ngram_counts(text)
+    w = {d: (1 + math.log(v[d])) * idf[d] for d in np.flatnonzero(v).tolist()}
+    norm = math.sqrt(sum(x * x for x in w.values()))
+    cosines = [sum(x * float(c[d]) for d, x in w.items()) / norm for c in model["c"]]
+    best = max(range(len(cosines)), key=cosines.__getitem__)
+    return model["langs"][model["of"][best]], cosines[best]
+
+
+def test_language_by_brute_force_and_rejection(spark, sf, docs):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(df)
+    trained = [t for i, t, lang, _ in docs if zlib.crc32(str(i).encode()) % 5 and lang is not None and t is not None]
+    some = [r for r in docs if langid.ngram_counts(r[1]) is not None][:15]
+    got = {r[0]: r[1:] for r in rows_of(langid.identify(df, model), "doc_id", "lang_pred", "score")}
+    for i, t, *_ in some:
+        lang, cosine = brute_language(trained, model, t)
+        assert got[i][0] == lang and math.isclose(got[i][1], cosine, rel_tol=1e-3)
+    assert all(math.isclose(float(np.linalg.norm(c)), 1, rel_tol=1e-4) for c in model["c"]) and Counter(model["of"].tolist()).most_common(1)[0][1] <= langid.CENTROIDS
+    far = ["быть или не быть вот в чем вопрос достойно ли смиряться", "学而时习之不亦说乎有朋自远方来不亦乐乎", "qqqq zzxqj xqzv jjjq vvxz qzxj xxqz"]
+    near = [t for i, t, lang, _ in docs if lang and t and len(t) > 500][:5]
+    out = dict(rows_of(langid.identify(frame(spark, [(k, t, None, None) for k, t in enumerate(far + near)]), model), "doc_id", "rejected"))
+    assert [out[k] for k in range(len(far) + len(near))] == [True] * len(far) + [False] * len(near)
+
+
+def test_a_language_of_long_texts_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 300)
+    r = random.Random(9)
+    rows = [(i, " ".join("".join(r.choice("aeionrst" if i % 2 else "czkwypjl") for _ in range(5)) for _ in range(300)), "aa" if i % 2 else "bb", "s") for i in range(12)]
+    model = langid.fit(frame(spark, rows))
+    assert model["langs"] == ["aa", "bb"]
+    assert dict(rows_of(langid.identify(frame(spark, rows), model), "doc_id", "lang_pred")) == {i: lang for i, _, lang, _ in rows}
+
+
 def test_ngrams_of_a_text_in_chunks(monkeypatch):
     text = sentence(random.Random(2), 500) + " 12 ñandú"
     whole = langid.ngram_counts(text)
@@ -185,28 +224,30 @@ def brute_quality(text):
     return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed)
 
 
-def check_quality(rows, out, line_docs, line_share):
+def check_quality(rows, out, line_docs, line_share, line_most):
     norm = lambda x: b" ".join(x.encode().lower().split())
     hosts, seen = Counter(), Counter()
-    for _, t, _, src in rows:
-        hosts[src or ""] += 1
-        for x in {norm(x) for x in (t or "").split("\n")} - {b""}:
-            seen[src or "", x] += 1
+    for _, t, src in {(i, t or "", src or "") for i, t, _, src in rows}:
+        hosts[src] += 1
+        for x in {norm(x) for x in t.split("\n")} - {b""}:
+            seen[src, x] += 1
     want = []
     for i, t, _, src in rows:
         n, *rest, failed = brute_quality(t)
-        often = sum(len(norm(x).split()) for x in (t or "").split("\n") if line_docs < seen[src or "", norm(x)] > line_share * hosts[src or ""])
-        want.append((i, n, *rest, failed, not failed and n - often >= 0.3 * n))
+        often = lambda x: seen[src or "", norm(x)] > line_docs and (seen[src or "", norm(x)] > line_share * hosts[src or ""] or seen[src or "", norm(x)] > line_most)  # noqa: B023, E731
+        gone = sum(len(norm(x).split()) for x in (t or "").split("\n") if often(x))
+        want.append((i, n, *rest, failed, not failed and n - gone >= 0.3 * n, t if t is None else "\n".join(x for x in t.split("\n") if not often(x))))
     assert sorted(map(str, out)) == sorted(map(str, want))
 
 
-COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text")
 
 
 def test_quality(spark, sf, docs, odd, empty):
-    check_quality(docs, rows_of(queries()["op3_quality_rules"](spark, sf), *COLUMNS), quality.LINE_DOCS, quality.LINE_SHARE)
-    check_quality(docs, rows_of(quality.quality(spark.read.parquet(f"{sf}/documents.parquet"), 1, 0.0), *COLUMNS), 1, 0.0)
-    check_quality(odd[0], rows_of(quality.quality(odd[1], 2, 0.1), *COLUMNS), 2, 0.1)
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    check_quality(docs, rows_of(quality.quality(df), *COLUMNS), quality.LINE_DOCS, quality.LINE_SHARE, quality.LINE_MOST)
+    check_quality(docs, rows_of(quality.quality(df, 1, 0.5, line_most=3), *COLUMNS), 1, 0.5, 3)
+    check_quality(odd[0], rows_of(quality.quality(odd[1], 2, 0.1), *COLUMNS), 2, 0.1, quality.LINE_MOST)
     assert quality.quality(empty).count() == 0
 
 
@@ -234,6 +275,15 @@ def test_pretokens_and_ids_equal_the_library(library, monkeypatch):
     assert [x.tolist() for x in got] == want and [codec.decode(x) for x in got] == [t.encode() for t in texts]
 
 
+def test_classes_of_code_points_equal_the_library(library):
+    codec, own = library
+    table, every = bpe._class_table(), [*range(0xD800), *range(0xE000, 0x110000)]
+    kinds = {"L": bpe.LETTER, "N": bpe.NUMBER}
+    differ = [c for c in every if (table[c] in kinds.values()) != (unicodedata.category(chr(c))[0] in kinds)]  # newer than the interpreter
+    texts = ["1" + chr(c) + "1 " + chr(c) + "a" for c in differ + every[:0x500] + every[::997]]
+    assert [x.tolist() for x in codec.encode(texts)] == [own.encode_ordinary(t) for t in texts]
+
+
 def test_own_merging_equals_the_library(library):
     codec, own = library
     r = random.Random(6)
@@ -643,12 +693,7 @@ def test_pipeline(spark, sf, docs, library):
     bad = {i for i, x in rows_of(langid.identify(df, langid.train(df)), "doc_id", "rejected") if x}
     left = [(i, *rows[i]) for i in rows if i not in bad]
     lines = [(i, t) for i, _, n, t in brute_lines(left) if not (n and t == "")]
-    fps = [brute_fingerprint(t) for _, t in lines]
-    kept, seen = [], set()
-    for (i, t), root in zip(lines, brute_components(fps), strict=True):
-        if root not in seen:
-            seen.add(root)
-            kept.append((i, t))
+    kept = [lines[k] for k, root in enumerate(brute_similar([t for _, t in lines])) if k == root]
     bench = duckdb.sql(f"SELECT text FROM '{sf}/benchmark.parquet'").fetchall()
     want = {i: t for i, t in kept if not any(b in t for (b,) in bench)}
     assert set(out) == set(want)
@@ -679,20 +724,38 @@ def test_near_dedup_stage_is_jaccard(spark, sf):
             for _ in range(r.randrange(1 + len(w) // 30)):
                 w[r.randrange(len(w))] = "changed" + str(r.random())
             texts.append(" ".join(w))
-    got = simhash.stage(spark, frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), sf)
-    assert sorted(i for (i,) in rows_of(got, "doc_id")) == [i for i, root in enumerate(brute_similar(texts)) if i == root]
+    df = frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    want = brute_similar(texts)
+    assert sorted(i for (i,) in rows_of(simhash.stage(spark, df, sf), "doc_id")) == [i for i, root in enumerate(want) if i == root]
+    # buckets cut by further hashes: every pair still meets; groups of many copies end at their smallest
+    roots = dict(rows_of(simhash.similar_groups(df, work=2000), "doc_id", "root"))
+    groups = defaultdict(set)
+    for i, root in roots.items():
+        groups[root].add(i)
+    brute = defaultdict(set)
+    for i, root in enumerate(want):
+        brute[root].add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, brute.values()))
 
 
 def test_pipeline_keeps_no_near_copy(spark, sf, docs):
     stages = dict(corpus_pipeline.STAGES)
     df = spark.read.parquet(f"{sf}/documents.parquet")
-    got = sorted(i for (i,) in rows_of(stages["simhash_near_dedup"](spark, df, sf), "doc_id"))
+    got = sorted(i for (i,) in rows_of(stages["simhash_near_dedup"](spark, df.unionByName(df.where("doc_id < 9")), sf), "doc_id"))  # repeated rows are copies
     assert got == [docs[k][0] for k, root in enumerate(brute_similar([t for _, t, *_ in docs])) if k == root]
 
 
 def test_stages_take_odd_and_empty_tables(spark, sf, odd, empty):
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, odd[1].select(*empty.columns), sf).count() > 0 and stage(spark, empty, sf).count() == 0
+    names = ("dk", "th", "in_text", "p", "item_ids", "vellum_p", "clean_text", "n_lines", "root", "first")
+    df = odd[1].select(*empty.columns).withColumns({c: F.lit(f"own {c}") for c in names})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, sf)
+        if name != "bpe":
+            assert out.columns == df.columns
+            assert [tuple(r) for r in out.select(*names).distinct().collect()] == [tuple(f"own {c}" for c in names)]
+        assert stage(spark, empty, sf).count() == 0
+    left = rows_of(dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, df, sf), "doc_id")
+    assert (None,) not in left and len(left) == len(set(left))  # the null id is a copy of document 2
 
 
 def test_every_operator_has_its_query():

@@ -36,18 +36,9 @@ def covered(starts: DataFrame, window: int = WINDOW) -> DataFrame:
     return runs.groupBy("dk", "th").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with ``clean_text`` (later occurrences removed), ``n_lines`` and ``n_removed``.
-
-    A window is ``window`` consecutive \\n-split lines, compared exactly (blank lines count).
-    One that also starts earlier in the order (doc_id, line) is removed with all its lines;
-    windows are judged on the input, so overlapping ones in a document count. Texts of fewer
-    lines have no window and stay whole. A null text has no lines and stays null; an empty one
-    is one empty line. Null ids come first in the order. Rows that repeat both id and text are
-    one document and get the same result; of rows that repeat an id only, the one with the
-    smaller text hash comes first. A text that loses all lines becomes empty.
-    """
-    k = keyed(docs.select(*[F.col(c).alias(f"in_{c}") for c in docs.columns], "doc_id", "text"))
+def _dedup(docs: DataFrame, window: int) -> DataFrame:
+    """The columns of ``docs`` as in_..., and clean_text, n_lines and n_removed."""
+    k = keyed(docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns], "doc_id", "text"))
     k = k.join(covered(repeated(docs, window), window), ["dk", "th"], "left").withColumn("lines", F.split("text", "\n", -1))
     ends = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["end"]))
     begins = F.concat(F.transform("runs", lambda r: r["begin"]), F.array(F.size("lines")))
@@ -56,14 +47,33 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     k = k.withColumn("kept", F.when(F.col("runs").isNull(), F.col("lines")).otherwise(kept))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
     return k.select(
-        *[F.col(f"in_{c}").alias(c) for c in docs.columns if c not in ("clean_text", "n_lines", "n_removed")],
+        *[F.col(f"`in_{c}`") for c in docs.columns],
         F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias("clean_text"),
         n.cast("long").alias("n_lines"),
         F.when(F.col("runs").isNull(), 0).otherwise(n - F.size("kept")).cast("long").alias("n_removed"),
     )
 
 
+def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with ``clean_text`` (later occurrences removed), ``n_lines`` and ``n_removed``.
+
+    A window is ``window`` consecutive \\n-split lines, compared exactly (blank lines count).
+    One that also starts earlier in the order (doc_id, line) is removed with all its lines;
+    windows are judged on the input, so overlapping ones in a document count. Texts of fewer
+    lines have no window and stay whole. A null text has no lines and stays null; an empty one
+    is one empty line. Null ids come first in the order. Rows that repeat both id and text are
+    one document and get the same result; of rows that repeat an id only, the one with the
+    smaller text hash comes first. A text that loses all lines becomes empty. Windows are equal
+    if 96 bits of hash are: of 10**12 different windows two agree with odds of 1 in 100,000. Very
+    long texts are arrays of their lines. Other columns pass through; ones of the three names are
+    replaced (the stage keeps them).
+    """
+    new = ("clean_text", "n_lines", "n_removed")
+    return _dedup(docs, window).select(*[F.col(f"`in_{c}`").alias(c) for c in docs.columns if c not in new], *new)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup_lines() over all documents, the remaining text as a digest."""
     return dedup_lines(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -87,7 +97,7 @@ FROM documents d LEFT JOIN s USING (doc_id)
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace each text by what line deduplication leaves; n_chars follows. Texts that lose every line go."""
-    out = dedup_lines(docs)
+    out = _dedup(docs, WINDOW)
     gone = (F.col("n_removed") > 0) & (F.col("clean_text") == "")
-    new = {"text": F.col("clean_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("clean_text").cast("long")).otherwise(F.col("n_chars"))}
-    return out.where(~F.coalesce(gone, F.lit(False))).select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    new = {"text": F.col("clean_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("clean_text").cast("long")).otherwise(F.col("in_n_chars")) if "n_chars" in docs.columns else None}
+    return out.where(~F.coalesce(gone, F.lit(False))).select(*[new[c].alias(c) if c in new else F.col(f"`in_{c}`").alias(c) for c in docs.columns])

@@ -30,8 +30,9 @@ FINE_BLOCKS = 8
 STAGE_SHINGLE = 5
 SIMILAR = (4, 5)
 #: Keys of a text, and how many least hashes make one. A pair at Jaccard 0.8 shares no key of the first level
-#: in 1 of 97,000 cases. The further levels cut buckets that are too large to be compared at once.
-LEVELS = ((16, 3), (8, 6), (8, 12))
+#: in 1 of 97,000 cases. The second level cuts buckets that are too large to be compared at once; if all
+#: buckets were, a pair at 0.8 would miss in 1 of 24,000.
+LEVELS = ((16, 3), (8, 6))
 #: Bits beyond which a pair is no candidate (a pair at Jaccard 0.8 differs in 10, unrelated texts in 32).
 RADIUS = 24
 #: A bucket is compared at once up to so many shingles, and up to so many texts times shingles.
@@ -153,7 +154,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, d
     component_id is the smallest doc_id reachable over links of ``distance`` or fewer bits.
     Null and word-less texts have fingerprint zero and are linked like any other. A null doc_id
     stays null and never names a component that has an id. Repeated rows are each returned.
-    Other columns are ignored; an empty table gives an empty result.
+    A very long text is hashed in pieces. Other columns are ignored; an empty table gives an
+    empty result.
     """
     fp = materialise(fingerprints(docs, shingle, seed), "fingerprints")
     links = close_links(fp.select("fp").distinct(), distance, blocks, bucket)
@@ -165,6 +167,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, d
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all documents."""
     return near_duplicates(documents(spark, sf_dir))
 
 
@@ -278,23 +281,36 @@ def _finer(members: DataFrame, sets: DataFrame, level: int) -> DataFrame:
     return members.join(fine, "sid").select("k", "sid", "n", F.explode("fine").alias("f")).select(F.xxhash64("k", "f").alias("k"), "sid", "n")
 
 
-def _with_leader(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): members of buckets that are similar to the bucket's smallest member."""
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) pairs whose sets are similar, exactly."""
     p, q = SIMILAR
-    leaders = materialise(members.groupBy("k").agg(F.min("sid").alias("b")), "leaders")
-    pairs = members.join(leaders, "k").where("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("hb")), "b")
     shared, total = F.size(F.array_intersect("ha", "hb")).cast("long"), F.size("ha").cast("long") + F.size("hb")
     return both.where(shared * (p + q) >= total * p).select("a", "b")
 
 
+def _with_leader(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links of buckets that no further key cuts: members with the smallest, the rest with every member.
+
+    The members agree in 9 hashes, so the smallest is similar to most of them.
+    """
+    leaders = materialise(members.groupBy("k").agg(F.min("sid").alias("b")), "leaders")
+    pairs = materialise(members.join(leaders, "k").where("sid <> b").select("k", F.col("sid").alias("a"), "b"), "stars")
+    star = materialise(_verified(pairs.select("a", "b").distinct(), sets), "star")
+    rest = materialise(pairs.join(star, ["a", "b"], "left_anti").select("k", "a"), "rest")
+    if rest.isEmpty():
+        return star
+    others = rest.join(members.select("k", F.col("sid").alias("b")), "k").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return star.unionByName(_verified(others.distinct(), sets))
+
+
 def bucket_links(members: DataFrame, sets: DataFrame, level: int = 0, held: int = HELD, work: int = WORK) -> DataFrame:
     """(a, b): links that join the similar texts of each bucket; ``members`` has distinct (k, sid, n).
 
     A bucket is compared whole in one task if its texts are few and short enough; it yields a
     star of each component, never its pairs. A larger one is cut by the keys of the next level,
-    which hold more hashes. What the last level leaves too large agrees in all hashes of its
-    three keys, 21 of them: there each text is compared with the bucket's smallest alone.
+    which hold more hashes. What the last level leaves too large is compared with the bucket's
+    smallest text first, see _with_leader().
     """
     sizes = members.groupBy("k").agg(F.count("*").alias("size"), F.sum("n").alias("w")).where("size > 1")
     large = (F.col("w") > held) | (F.col("size") * F.col("w") > work)
