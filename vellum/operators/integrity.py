@@ -39,8 +39,7 @@ def encode_key(df: DataFrame, columns: Sequence[str]) -> Column:
 
 def decode_key(encoded: Column, parts: int) -> list[Column]:
     """The parts of an encoded key as text; null parts as null."""
-    step = F.struct(encoded.cast("binary").alias("rest"),  # lengths are in bytes
-         F.array().cast("array<string>").alias("out"))
+    step = F.struct(encoded.cast("binary").alias("rest"), F.array().cast("array<string>").alias("out"))  # lengths are in bytes
 
     def cut(acc, _):
         rest = acc["rest"]
