@@ -30,9 +30,9 @@ FINE_BLOCKS = 8
 STAGE_SHINGLE = 5
 SIMILAR = (4, 5)
 #: Keys of a text, and how many least hashes make one. A pair at Jaccard 0.8 shares no key of the first level
-#: in 1 of 97,000 cases. The second level cuts buckets that are too large to be compared at once; if all
-#: buckets were, a pair at 0.8 would miss in 1 of 24,000.
-LEVELS = ((16, 3), (8, 6))
+#: in 1 of 97,000 cases. The second level, of other hashes, cuts buckets that are too large to be compared
+#: at once; if all buckets were, a pair at 0.8 would miss in 1 of 48,000.
+LEVELS = ((16, 3), (16, 3))
 #: Bits beyond which a pair is no candidate (a pair at Jaccard 0.8 differs in 10, unrelated texts in 32).
 RADIUS = 24
 #: A bucket is compared at once up to so many shingles, and up to so many texts times shingles.
@@ -292,7 +292,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _with_leader(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): links of buckets that no further key cuts: members with the smallest, the rest with every member.
 
-    The members agree in 9 hashes, so the smallest is similar to most of them.
+    The members agree in 6 hashes, so the smallest is similar to most of them.
     """
     leaders = materialise(members.groupBy("k").agg(F.min("sid").alias("b")), "leaders")
     pairs = materialise(members.join(leaders, "k").where("sid <> b").select("k", F.col("sid").alias("a"), "b"), "stars")
