@@ -197,7 +197,7 @@ def anchors(h: np.ndarray, level: int = 0) -> np.ndarray:
     return np.array([xxh64_intdigest(x.tobytes(), t) for t, x in enumerate(least)], dtype=np.uint64)
 
 
-_SKETCH = "doc_id long, th long, sid long, n int, fp long, keys array<long>, hashes array<long>"
+_SKETCH = "doc_id long, dk long, th long, sid long, n int, fp long, keys array<long>"
 
 
 def _long_lists(parts: list[np.ndarray]):
@@ -208,7 +208,7 @@ def _long_lists(parts: list[np.ndarray]):
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id and th (hash of the text); of its shingle set the name, size, SimHash, keys and hashes, for every row."""
+    """doc_id, and the document as keyed() has it; of its shingle set the name, size, SimHash and keys, for every row."""
     import pyarrow as pa
     from xxhash import xxh64_intdigest
 
@@ -218,11 +218,28 @@ def sketches(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 100):  # sets are as large as texts
                 part = batch.slice(at, 100)
-                sets = [shingle_hashes(t) for t in as_bytes(part.column(2))]
+                sets = [shingle_hashes(t) for t in as_bytes(part.column(3))]
                 sid, fp = (np.array(x, dtype=np.uint64).view(np.int64) for x in ([xxh64_intdigest(h.tobytes()) for h in sets], [sum(1 << int(i) for i in np.flatnonzero(2 * bit_counts(h) > len(h))) for h in sets]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sid), pa.array([len(h) for h in sets], pa.int32()), pa.array(fp), _long_lists([anchors(h) for h in sets]), _long_lists(sets)], names=["doc_id", "th", "sid", "n", "fp", "keys", "hashes"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sid), pa.array([len(h) for h in sets], pa.int32()), pa.array(fp), _long_lists([anchors(h) for h in sets])], names=["doc_id", "dk", "th", "sid", "n", "fp", "keys"])
 
-    return keyed(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "th", "text").mapInArrow(released(each), _SKETCH)
+    return keyed(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "dk", "th", "text").mapInArrow(released(each), _SKETCH)
+
+
+def shingle_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(sid, fp, hashes): the shingle sets of the documents in ``chosen`` (dk, th, sid, fp; one a set).
+
+    They are computed anew from the texts: hashes of all texts would be twice what the texts are.
+    """
+    import pyarrow as pa
+
+    def each(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _long_lists([shingle_hashes(t) for t in as_bytes(part.column(2))])], names=["sid", "fp", "hashes"])
+
+    texts = keyed(docs.select("doc_id", "text")).select("dk", "th", "text").join(chosen, ["dk", "th"]).dropDuplicates(["dk", "th"])
+    return texts.select("sid", "fp", "text").mapInArrow(released(each), "sid long, fp long, hashes array<long>")
 
 
 def similar_links(sid: np.ndarray, fp: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -333,13 +350,15 @@ def similar_groups(docs: DataFrame, **kwargs) -> DataFrame:
     a word. Other columns are ignored; further arguments are bucket_links()'s.
     """
     rows = materialise(sketches(docs), "sketches")
-    keys = rows.select("sid", "n", F.explode("keys").alias("k")).distinct()
+    # a row a set: aggregated before any join, since copies of one text may be many; what it was aggregated from agrees in all but "at"
+    named = materialise(rows.groupBy("sid").agg(F.min(F.struct("dk", "th")).alias("at"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "named")
+    keys = named.select("sid", "n", F.explode(F.array_distinct("keys")).alias("k"))
     shared = materialise(keys.groupBy("k").agg(F.count("*").alias("size")).where("size > 1").select("k"), "shared")
     members = materialise(keys.join(shared, "k"), "candidates")
-    wanted = materialise(members.select("sid").distinct(), "wanted")
-    sets = materialise(rows.join(wanted, "sid", "left_semi").select("sid", "fp", "hashes").dropDuplicates(["sid"]), "sets", free=True)
+    chosen = materialise(named.join(members.select("sid").distinct(), "sid", "left_semi").select("at.dk", "at.th", "sid", "fp"), "chosen", free=True)
+    sets = materialise(shingle_sets(docs, chosen), "sets", free=True)
     names = materialise(rows.select("doc_id", "th", "sid"), "names")
-    for done in (rows, shared, wanted):
+    for done in (rows, named, shared, chosen):
         discard(done)
     links = materialise(bucket_links(members, sets, **kwargs), "similar")
     roots = materialise(connected_components(links, "a", "b").withColumnRenamed("node", "sid"), "roots")
