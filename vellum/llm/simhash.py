@@ -349,7 +349,7 @@ def similar_groups(docs: DataFrame, **kwargs) -> DataFrame:
     Links are transitive. Texts without a word are alike. A very long text is one set of 8 bytes
     a word. Other columns are ignored; further arguments are bucket_links()'s.
     """
-    rows = materialise(sketches(docs), "sketches")
+    rows = materialise(sketches(docs), "sketches", free=True)  # also what the stage before left
     # a row a set: aggregated before any join, since copies of one text may be many; what it was aggregated from agrees in all but "at"
     named = materialise(rows.groupBy("sid").agg(F.min(F.struct("dk", "th")).alias("at"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "named")
     keys = named.select("sid", "n", F.explode(F.array_distinct("keys")).alias("k"))
@@ -360,7 +360,9 @@ def similar_groups(docs: DataFrame, **kwargs) -> DataFrame:
     names = materialise(rows.select("doc_id", "th", "sid"), "names")
     for done in (rows, named, shared, chosen):
         discard(done)
-    links = materialise(bucket_links(members, sets, **kwargs), "similar")
+    links = materialise(bucket_links(members, sets, **kwargs), "similar", free=True)
+    for done in (members, sets):
+        discard(done)
     roots = materialise(connected_components(links, "a", "b").withColumnRenamed("node", "sid"), "roots")
     return names.join(roots, "sid", "left").select("doc_id", "th", F.coalesce("root", "sid").alias("root"))
 
