@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vellum.llm import bpe, decontaminate, langid, linededup, lm, quality, secrets, simhash, substring, suffixarray, winnow
+from vellum.llm import bpe, common, decontaminate, langid, linededup, lm, quality, secrets, simhash, substring, suffixarray, winnow
 from vellum.llm.components import connected_components
 from vellum.llm.queries import oracle_sql, queries
 
@@ -738,6 +738,18 @@ def test_near_dedup_stage_is_jaccard(spark, sf):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, brute.values()))
 
 
+def test_bitmap_loses_no_key(spark, monkeypatch):
+    rows = spark.range(20_000).selectExpr("id - 10000 AS dk", "xxhash64(id, 'x') AS th")
+    keys = rows.where("dk % 10 = 0")
+    for most in (common.BITMAP_MOST, 1 << 10):  # the second is full of marks
+        monkeypatch.setattr(common, "BITMAP_MOST", most)
+        left = set(rows_of(rows.where(common.possibly_in(keys)), "dk"))
+        assert left >= {(i,) for i in range(-10_000, 10_000, 10)}
+        assert len(left) < 2000 + 0.04 * 18_000 or most == 1 << 10
+    monkeypatch.undo()
+    assert rows.where(common.possibly_in(keys.where("false"))).count() == 0
+
+
 def test_pipeline_keeps_no_near_copy(spark, sf, docs):
     stages = dict(corpus_pipeline.STAGES)
     df = spark.read.parquet(f"{sf}/documents.parquet")

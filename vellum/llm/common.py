@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,8 +97,6 @@ def release() -> None:
     """Give memory that a Python worker no longer uses back to the machine: allocators keep it, and workers live on."""
     import ctypes
 
-    import pyarrow as pa
-
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -131,6 +130,57 @@ def keyed(docs: DataFrame, th: str | None = None) -> DataFrame:
     return docs.withColumns({"dk": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "th": text_hash})
 
 
+#: Bits that a bitmap of hashes has at most (16 MB).
+BITMAP_MOST = 1 << 27
+
+
+def bitmap(hashes: DataFrame, n: int, share: int) -> np.ndarray:
+    """A bitmap of the ``n`` 64-bit values in the one column of ``hashes``: two bits a value, ``share`` bits for each.
+
+    It grows with n up to BITMAP_MOST; beyond that a fuller one only lets more through.
+    """
+    bits = min(BITMAP_MOST, 1 << max(16, (share * n).bit_length()))
+    h = F.col(hashes.columns[0])
+    places = [F.shiftrightunsigned(h, 64 - bits.bit_length() + 1), h.bitwiseAND(F.lit(bits - 1))]
+    words = hashes.select(F.explode(F.array(*places)).alias("i")).groupBy(F.shiftright("i", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i & 63 as int))")).alias("bits"))
+    out, words = np.zeros(bits >> 6, dtype=np.int64), words.toArrow()
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def passing(h: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Positions of the hashes whose two bits are set in the bitmap ``seen``."""
+    bits = len(seen) * 8
+    at = np.arange(len(h))
+    for i in (lambda x: x >> np.uint64(64 - bits.bit_length() + 1), lambda x: x & np.uint64(bits - 1)):
+        place = i(h[at]).astype(np.int64)
+        at = at[(seen[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)]
+    return at
+
+
+#: Bits of a bitmap for each document that possibly_in() is about: it lets 2 in 100 others through.
+POSSIBLE_BITS = 16
+
+
+def possibly_in(keys: DataFrame) -> Column:
+    """Whether a row's (dk, th) may be among those of ``keys``; false only where it is not.
+
+    It keeps long rows from the shuffle of a join that would drop them. Beyond some 10 million
+    keys it lets more and more through, and the join gets what it would get without.
+    """
+    spark = keys.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast(bitmap(keys.select(F.xxhash64("dk", "th").alias("h")), keys.count(), POSSIBLE_BITS))
+
+    @F.arrow_udf("boolean")
+    def seen(h: pa.Array) -> pa.Array:
+        out = np.zeros(len(h), dtype=bool)
+        out[passing(h.to_numpy(zero_copy_only=False).view(np.uint64), sent.value)] = True
+        return pa.array(out)
+
+    return seen(F.xxhash64("dk", "th"))
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
@@ -143,8 +193,6 @@ def total_bytes(docs: DataFrame) -> int:
 
 def as_bytes(column) -> list[bytes | None]:
     """The UTF-8 of an Arrow string column, without decoding it."""
-    import pyarrow as pa
-
     return column.cast(pa.large_binary()).to_pylist()
 
 

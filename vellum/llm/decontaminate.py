@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from vellum.llm.common import as_bytes, documents, keyed, materialise, released, ship
+from vellum.llm.common import as_bytes, bitmap, documents, keyed, materialise, passing, released, ship
 
 #: Template tokens of a window, and how many of them must be plain words.
 WINDOW = 8
@@ -21,9 +21,8 @@ PLAIN = 4
 SHORTEST = 5
 #: A document holds an item if its windows cover this share of the item's tokens.
 COVER = 0.6
-#: Bits of the filter that windows of documents pass before the join (two bits a window), for each
-#: window of the benchmark, and at most in all (16 MB); a full filter only lets more through.
-FILTER_BITS, FILTER_MOST = 256, 1 << 27
+#: Bits of the filter that windows of documents pass before the join, for each window of the benchmark.
+FILTER_BITS = 256
 
 UNITS = frozenset(
     """mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg gram grams ton tons lb lbs oz pound pounds ml l liter liters litre litres
@@ -199,28 +198,12 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 def window_filter(windows: DataFrame) -> tuple[list[int], np.ndarray]:
     """The lengths of the windows, and a bitmap of their hashes: all that the driver gets of the benchmark."""
     sizes = windows.groupBy("n").agg(F.count("*").alias("c")).collect()
-    bits = min(FILTER_MOST, 1 << max(16, (FILTER_BITS * sum(r["c"] for r in sizes)).bit_length()))
-    places = [F.shiftrightunsigned("w", 64 - bits.bit_length() + 1), F.col("w").bitwiseAND(F.lit(bits - 1))]
-    words = windows.select(F.explode(F.array(*places)).alias("i")).groupBy(F.shiftright("i", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i & 63 as int))")).alias("bits"))
-    out = np.zeros(bits >> 6, dtype=np.int64)
-    for r in words.collect():
-        out[r["at"]] = r["bits"]
-    return sorted(r["n"] for r in sizes), out.view(np.uint8)
-
-
-def passing(w: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    """Positions of the hashes whose two bits are set."""
-    bits = len(bitmap) * 8
-    at = np.arange(len(w))
-    for i in (lambda x: x >> np.uint64(64 - bits.bit_length() + 1), lambda x: x & np.uint64(bits - 1)):
-        place = i(w[at]).astype(np.int64)
-        at = at[(bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)]
-    return at
-
-
-def document_windows(docs: DataFrame, lengths: list[int], bitmap: np.ndarray) -> DataFrame:
+    return sorted(r["n"] for r in sizes), bitmap(windows.select("w"), sum(r["c"] for r in sizes), FILTER_BITS)
+
+
+def document_windows(docs: DataFrame, lengths: list[int], seen: np.ndarray) -> DataFrame:
     """(dk, th, form, p, w, values) of the windows of (dk, th, text) that pass the filter."""
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+    sent = docs.sparkSession.sparkContext.broadcast(seen)
 
     def rows_of(dk: int, th: int, text: bytes | None, seen: np.ndarray):
         for form, t in enumerate(templates(text)):
@@ -249,8 +232,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     with their own values.
     """
     windows = materialise(benchmark_windows(benchmark), "windows")
-    lengths, bitmap = window_filter(windows)
-    hits = materialise(document_windows(keyed(docs.select("doc_id", "text")), lengths, bitmap).distinct(), "hits")
+    lengths, seen = window_filter(windows)
+    hits = materialise(document_windows(keyed(docs.select("doc_id", "text")), lengths, seen).distinct(), "hits")
     hit = F.struct(F.concat("form", F.lit(":"), "item_form").alias("form"), (F.col("p") - F.col("o")).alias("shift"), "o", "n", "own", "values", "length", "coverable", "short")
     pairs = hits.join(windows, "w").where(F.size("values") == F.col("n")).groupBy("dk", "th", "ik", "item_id").agg(F.collect_list(hit).alias("hits"))
 

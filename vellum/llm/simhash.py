@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import as_bytes, discard, documents, keyed, materialise, released, ship
+from vellum.llm.common import as_bytes, discard, documents, keyed, materialise, possibly_in, released, ship
 from vellum.llm.components import connected_components
 
 SHINGLE = 3
@@ -238,7 +238,7 @@ def shingle_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 part = batch.slice(at, 100)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _long_lists([shingle_hashes(t) for t in as_bytes(part.column(2))])], names=["sid", "fp", "hashes"])
 
-    texts = keyed(docs.select("doc_id", "text")).select("dk", "th", "text").join(chosen, ["dk", "th"]).dropDuplicates(["dk", "th"])
+    texts = keyed(docs.select("doc_id", "text")).select("dk", "th", "text").where(possibly_in(chosen)).join(chosen, ["dk", "th"]).dropDuplicates(["dk", "th"])
     return texts.select("sid", "fp", "text").mapInArrow(released(each), "sid long, fp long, hashes array<long>")
 
 
@@ -374,8 +374,14 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     that repeat id and text any one stays. So texts without a word are one group. Other columns
     pass through whatever their names.
     """
-    first = similar_groups(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
-    first = materialise(keyed(first.select("first.doc_id", "first.th"), "th").select("dk", "th"), "kept", free=True)
+    groups = materialise(similar_groups(docs), "groups")
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
+    first = keyed(first.select("first.doc_id", "first.th"), "th").select("dk", "th", F.lit(True).alias("stays"))
+    # only rows that go or are repeated meet a join: most documents are neither, and their texts are not shuffled
+    counts = keyed(groups, "th").groupBy("dk", "th").agg(F.count("*").alias("n")).join(materialise(first, "first"), ["dk", "th"], "left")
+    touched = materialise(counts.where("n > 1 or stays is null").select("dk", "th", F.coalesce("stays", F.lit(False)).alias("stays")), "touched", free=True)
     own = docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns], "doc_id", "text")
-    kept = keyed(own).drop("doc_id", "text").join(first, ["dk", "th"], "left_semi").dropDuplicates(["dk", "th"])
+    own = keyed(own).drop("doc_id", "text").withColumn("touched", possibly_in(touched))
+    some = own.where("touched").join(touched, ["dk", "th"], "left").where(F.coalesce("stays", F.lit(True))).dropDuplicates(["dk", "th"])
+    kept = own.where("not touched").select(*[f"`in_{c}`" for c in docs.columns]).unionByName(some.select(*[f"`in_{c}`" for c in docs.columns]))
     return kept.select(*[F.col(f"`in_{c}`").alias(c) for c in docs.columns])
