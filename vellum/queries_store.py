@@ -201,12 +201,15 @@ def nest_cas_narrow(spark, sf_dir):
 
 @query(f"SELECT printf('%032x', o_orderkey) AS id, CASE WHEN o_orderstatus = 'P' AND row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) <= 40 THEN {_DOC.format(chr(39) + 'D' + chr(39), 0)} ELSE {_DOC.format('o_orderstatus', 0)} END AS doc FROM orders WHERE o_orderkey <> 5")
 def lot_on_store(spark, sf_dir):
-    """A request on a store: its writes are one commit, seen by the next."""
+    """A request on a store: its writes are one commit, seen by the next. The nested cas takes the first 40 of what the del left."""
     s = _two_collections(spark, sf_dir)
+    try:
+        got = s.execute({"cap": _CAP, "op": {"get": {"coll": "orders", "id": f"{5:032x}"}}}).docs.first()
+        s.execute({"cap": _CAP, "op": {"del": {"coll": "orders", "id": f"{5:032x}", "expect": got["hash"]}}})
+    except lot.Missing:  # no such order: none to delete
+        pass
     scan = {"scan": {"coll": "orders", "limit": 40, "proj": ["status"], "filter": {"eq": ["status", "P"]}}}
     s.execute({"cap": _CAP, "op": {"nest": {"depth": 1, "src": scan, "then": {"cas": {"coll": "orders", "ops": [{"op": 1, "f": "status", "v": "D"}]}}}}})
-    got = s.execute({"cap": _CAP, "op": {"get": {"coll": "orders", "id": f"{5:032x}"}}}).docs.first()
-    s.execute({"cap": _CAP, "op": {"del": {"coll": "orders", "id": f"{5:032x}", "expect": got["hash"]}}})
     return s.view(coll="orders").select(F.col("key").alias("id"), F.col("value").alias("doc"))
 
 
